@@ -92,8 +92,10 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     combined before the shuffle and a hot key never sits in one task.
     """
     keys = list(keys)
-    cols = df.columns
-    lead = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
-    packed = F.struct(*lead, F.struct(*cols).alias("_row"))
+    named = [o for o in order if isinstance(o, str) and o not in keys]
+    other = [o for o in order if not isinstance(o, str)]
+    rest = [c for c in df.columns if c not in keys and c not in named]
+    packed = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(other)], *named, *rest)
     pick = F.max(packed) if keep_last else F.min(packed)
-    return df.groupBy(*keys).agg(pick.alias("_best")).select("_best._row.*")
+    best = df.groupBy(*keys).agg(pick.alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}") for c in df.columns])

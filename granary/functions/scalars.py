@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Text that stands for a missing number. Fixed values.
-MISSING_NUMBER_TEXT = ("", "nan", "none", "null", "n/a", "na", "?", "-", "inf", "-inf", "infinity")
+MISSING_NUMBER_TEXT = ("", "nan", "none", "null", "n/a", "na", "?", "-", "inf", "-inf", "+inf")
 
 # Date formats tried in this order; slash dates are day first. Fixed values.
 DATE_FORMATS = ("d MMM yyyy", "yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy")

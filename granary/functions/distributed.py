@@ -99,3 +99,17 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     pick = F.max(packed) if keep_last else F.min(packed)
     best = df.groupBy(*keys).agg(pick.alias("_best"))
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}") for c in df.columns])
+
+
+def row_scalar(df: DataFrame) -> Column:
+    """A one-row DataFrame as a struct value (see ``scalar``)."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
+def day_quantile(df: DataFrame, date: str, p: float) -> Column:
+    """Quantile of a date column as fractional epoch days.
+
+    A built-in percentile keeps one counter per distinct value, and distinct
+    days are few, so this one needs no bucketing.
+    """
+    return df.agg(F.percentile(F.unix_date(date).cast("double"), float(p))).scalar()

@@ -136,11 +136,11 @@ BASE: dict[str, str] = {
           FROM @nation_orders@ GROUP BY ALL)""",
     "weather": """
         SELECT district, date, CASE WHEN miss THEN -999.0::DOUBLE ELSE n::DOUBLE END AS precip,
-          CASE WHEN miss THEN -999.0::DOUBLE ELSE med / 10000 END AS t2m,
-          CASE WHEN miss THEN -999.0::DOUBLE ELSE lo / 10000 END AS t2m_min,
-          CASE WHEN miss THEN -999.0::DOUBLE ELSE hi / 10000 END AS t2m_max,
+          CASE WHEN miss THEN -999.0::DOUBLE ELSE med / 8192 END AS t2m,
+          CASE WHEN miss THEN -999.0::DOUBLE ELSE lo / 8192 END AS t2m_min,
+          CASE WHEN miss THEN -999.0::DOUBLE ELSE hi / 8192 END AS t2m_max,
           CASE WHEN miss THEN -999.0::DOUBLE ELSE (n % 101)::DOUBLE END AS rh2m,
-          CASE WHEN miss THEN -999.0::DOUBLE ELSE dayofyear(date)::DOUBLE / 10 END AS solar,
+          CASE WHEN miss THEN -999.0::DOUBLE ELSE dayofyear(date)::DOUBLE / 8 END AS solar,
           CASE WHEN miss THEN -999.0::DOUBLE ELSE (epoch_day % 7)::DOUBLE END AS wind
         FROM (SELECT district, date, (date - DATE '1970-01-01') AS epoch_day,
                 (date - DATE '1970-01-01') % 97 = 0 AS miss, count(*) AS n,

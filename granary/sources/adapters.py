@@ -89,7 +89,10 @@ def yield_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_weather(spark: SparkSession, folder: str) -> DataFrame:
-    """weather: district x day; every 97th day of a district (by epoch day) is missing as -999."""
+    """weather: district x day; every 97th day of a district (by epoch day) is missing as -999.
+
+    Scales are powers of two, so sums of the values stay exact in doubles too.
+    """
     days = (_nation_orders(spark, folder).groupBy("district", "date", "total").agg(F.count("*").alias("n"))
             .groupBy("district", "date")
             .agg(F.sum("n").alias("n"), F.percentile("total", F.lit(0.5), F.col("n")).alias("med"),
@@ -98,9 +101,9 @@ def daily_weather(spark: SparkSession, folder: str) -> DataFrame:
     put = lambda c, name: F.when(missing, F.lit(-999.0)).otherwise(c.cast("double")).alias(name)
     return days.select(
         "district", "date",
-        put(F.col("n"), "precip"), put(F.col("med") / 10000, "t2m"), put(F.col("lo") / 10000, "t2m_min"),
-        put(F.col("hi") / 10000, "t2m_max"), put(F.col("n") % 101, "rh2m"),
-        put(F.dayofyear("date") / 10.0, "solar"), put(F.unix_date("date") % 7, "wind"))
+        put(F.col("n"), "precip"), put(F.col("med") / 8192, "t2m"), put(F.col("lo") / 8192, "t2m_min"),
+        put(F.col("hi") / 8192, "t2m_max"), put(F.col("n") % 101, "rh2m"),
+        put(F.dayofyear("date") / 8.0, "solar"), put(F.unix_date("date") % 7, "wind"))
 
 
 def service_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,3 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written intermediate table."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, name: str = "stage"):
+    """Write a frame that several jobs read to the shared folder and read it back.
+
+    The copy survives lost executors and cuts the lineage of iterative fits.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

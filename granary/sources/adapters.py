@@ -15,8 +15,8 @@ from granary.functions.windows import series_window
 from granary.sources.tables import table
 
 
-def _market_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+def _market_lines(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    lines = table(spark, folder, "lineitem") if lines is None else lines
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
     # both are dimension tables; the optimizer broadcasts them only below its size threshold
@@ -40,9 +40,9 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
                  F.sum("qty").alias("arrivals")))
 
 
-def raw_observations(spark: SparkSession, folder: str) -> DataFrame:
-    """obs_raw: one text row per line item with dirt placed by the part key."""
-    lines = _market_lines(spark, folder)
+def raw_observations(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    """obs_raw: one text row per line item (batch or stream) with dirt placed by the part key."""
+    lines = _market_lines(spark, folder, lines)
     m = F.col("l_partkey") % 50
     price = F.col("price").cast("long")
     low, high = price - F.col("l_linenumber") * 2, price + F.col("l_linenumber") * 3

@@ -86,19 +86,19 @@ def scalar(df: DataFrame) -> Column:
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
              keep_last: bool = False) -> DataFrame:
-    """One whole row per key: the smallest (or largest) by the order columns.
+    """One whole row per key: the first (or last) by the order columns, then by all others.
 
-    The row travels as a struct through a min/max aggregate, so duplicates are
-    combined before the shuffle and a hot key never sits in one task.
+    Because only row 1 is kept, the optimizer limits every key to one row per
+    input task before the shuffle (window group limit), so copies of a hot key
+    never travel to one task.
     """
     keys = list(keys)
-    named = [o for o in order if isinstance(o, str) and o not in keys]
-    other = [o for o in order if not isinstance(o, str)]
+    named = [o for o in order if not (isinstance(o, str) and o in keys)]
     rest = [c for c in df.columns if c not in keys and c not in named]
-    packed = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(other)], *named, *rest)
-    pick = F.max(packed) if keep_last else F.min(packed)
-    best = df.groupBy(*keys).agg(pick.alias("_best"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}") for c in df.columns])
+    turn = (lambda c: c.desc()) if keep_last else (lambda c: c.asc())
+    ranking = [turn(F.col(o) if isinstance(o, str) else o) for o in [*named, *rest]]
+    w = Window.partitionBy(*keys).orderBy(*ranking)
+    return df.select("*", F.row_number().over(w).alias("_rank")).filter("_rank = 1").drop("_rank")
 
 
 def row_scalar(df: DataFrame) -> Column:

@@ -7,17 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text that stands for a missing number. Fixed values.
-MISSING_NUMBER_TEXT = ("", "nan", "none", "null", "n/a", "na", "?", "-", "inf", "-inf", "+inf")
+# A plain decimal number. Sentinels such as "N/A", "nan", "inf", "?" or "-" do not fit, nor does
+# an exponent that could overflow.
+NUMBER = r"^\s*([-+]?(?:\d{1,200}(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d{1,2})?)\s*$"
 
-# Date formats tried in this order; slash dates are day first. Fixed values.
+# Date formats; slash and dash dates are day first. Fixed values.
 DATE_FORMATS = ("d MMM yyyy", "yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy")
 
 
 def parse_dates(col: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """First format that parses, else NULL."""
+    """Date by whichever format fits, else NULL.
+
+    All formats are optional sections of one pattern, so a text is parsed once.
+    """
     text = F.trim(col.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    pattern = "".join(f"[{f}]" for f in formats)
+    # an empty text would satisfy a pattern of optional parts only
+    return F.when(F.length(text) > 0, F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
 
 
 def finite(col: Column) -> Column:
@@ -28,8 +34,7 @@ def finite(col: Column) -> Column:
 
 def parse_double(col: Column) -> Column:
     """Lenient number parsing; anything that is no finite number becomes NULL."""
-    text = F.lower(F.trim(col.cast("string")))
-    return finite(F.when(~text.isin(*MISSING_NUMBER_TEXT), text.try_cast("double")))
+    return F.regexp_extract(col.cast("string"), NUMBER, 1).try_cast("double")
 
 
 def positive(col: Column) -> Column:

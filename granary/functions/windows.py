@@ -15,8 +15,13 @@ from granary.schemas import SERIES
 
 
 def series_window(keys=SERIES, date: str = "reported_date") -> WindowSpec:
-    """Series partition ordered by epoch day (an integer, so RANGE frames count days)."""
-    return Window.partitionBy(*keys).orderBy(F.unix_date(F.col(date)))
+    """Series partition in date order; the plain column lets later windows reuse the sort."""
+    return Window.partitionBy(*keys).orderBy(date)
+
+
+def days_around(lo: int, hi: int, keys=SERIES, date: str = "reported_date") -> WindowSpec:
+    """Rows whose date lies lo..hi days away; ordered by epoch day because RANGE offsets are numbers."""
+    return Window.partitionBy(*keys).orderBy(F.unix_date(F.col(date))).rangeBetween(lo, hi)
 
 
 def past(w: WindowSpec, n: int) -> WindowSpec:

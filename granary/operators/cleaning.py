@@ -61,9 +61,12 @@ def dedup_keyed(df: DataFrame, keys: Sequence[str] = OBS_KEY, keep: str = "first
 
 
 def clean_observations(df: DataFrame) -> DataFrame:
-    """All rules in order on typed rows."""
-    df = drop_exact_duplicates(drop_invalid_dates(df))
-    df = validate_price(validate_arrivals(df, "drop"))
+    """All rules in order on typed rows.
+
+    Exact duplicates need no shuffle of their own: they share the key, so the
+    keyed step keeps one of them. ``clean_audit`` counts them separately.
+    """
+    df = validate_price(validate_arrivals(drop_invalid_dates(df), "drop"))
     return dedup_keyed(drop_inconsistent_prices(nullify_nonpositive_bounds(df)))
 
 

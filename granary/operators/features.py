@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from granary.functions.dates import annual_harmonics, calendar_parts
 from granary.functions.distributed import exact_quantiles
 from granary.functions.scalars import clip, pct_change, zero_if_missing
-from granary.functions.windows import full, past, running, series_window, trailing
+from granary.functions.windows import days_around, full, past, running, series_window, trailing
 from granary.schemas import SERIES
 
 PRICE = "modal_price"
@@ -228,12 +228,11 @@ def past_obs_range(ns: Sequence[int] = (5, 10, 20)) -> Columns:
 
 def past_calendar_range(hs: Sequence[int] = (7, 14), nominal: Sequence[int] = (7,)) -> Columns:
     """max - min of positive prices in [t - H, t]; 0 without an earlier priced row."""
-    w = series_window()
     p = F.col(PRICE)
     good = F.when(p > 0, p)
     out: Columns = {}
     for h in hs:
-        f = w.rangeBetween(-h, 0)
+        f = days_around(-h, 0)
         usable = (p > 0) & (F.count(good).over(f) > 1)
         spread = F.when(usable, F.max(good).over(f) - F.min(good).over(f)).otherwise(0.0)
         if h in nominal:
@@ -469,9 +468,11 @@ def _volatility_set(df: DataFrame, names: Sequence[str], first_row_moves: bool,
                     ewma_columns: bool) -> DataFrame:
     base = df.columns
     w = series_window()
-    out = add(df, lagged_pct(), past_obs_range(), {"price_change_1": F.col(PRICE) - F.lag(PRICE).over(w)},
+    # day ranges need their own ordering; done first, all later windows share one sort
+    out = add(df, past_calendar_range()) if calendar else df
+    out = add(out, lagged_pct(), past_obs_range(), {"price_change_1": F.col(PRICE) - F.lag(PRICE).over(w)},
               _calendar(("month", "day_of_week", "week_of_year")), or_zero(arrival_features((1,), (7,))),
-              row_numbers(), past_calendar_range() if calendar else {})
+              row_numbers())
     out = add(out, rolling_std_incl(), level_and_jump(), move_flags(first_row_moves))
     out = add(out, volatility_ratios(), {"_abs_diff": F.abs("price_change_1")}, {
         f"nonzero_moves_{n}": full(F.sum("_move"), F.col("_move"), trailing(w, n), n).cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.distributed import exact_quantiles, row_scalar
 from granary.functions.scalars import CLASSES, classify3, log_return, pct_change
-from granary.functions.windows import full, series_window, trailing
+from granary.functions.windows import days_around, full, series_window, trailing
 
 PRICE = "modal_price"
 DATE = "reported_date"
@@ -33,7 +33,7 @@ def next_obs_target(df: DataFrame, max_days: int = 7) -> DataFrame:
 
 def forward_calendar_target(df: DataFrame, horizon: int, tolerance: int = 3) -> DataFrame:
     """First observation in [t + H, t + H + tolerance], NULL without one."""
-    frame = series_window().rangeBetween(horizon, horizon + tolerance)
+    frame = days_around(horizon, horizon + tolerance)
     hit = F.first(F.struct(F.col(DATE).alias("d"), F.col(PRICE).alias("p"))).over(frame)
     s = f"{horizon}d"
     return df.withColumn("_hit", hit).select(
@@ -57,7 +57,7 @@ def nearest_calendar_target(df: DataFrame, horizon: int = 7, tolerance: int = 3,
     """
     if tie not in ("forward", "backward"):
         raise ValueError(f"unknown tie rule {tie!r}")
-    frame = series_window().rangeBetween(horizon - tolerance, horizon + tolerance)
+    frame = days_around(horizon - tolerance, horizon + tolerance)
     near = F.collect_list(F.struct(F.col(DATE).alias("d"), F.col(PRICE).alias("p"))).over(frame)
     offset = lambda x: F.datediff(x["d"], F.col(DATE)) - horizon
     sign = -1 if tie == "forward" else 1
@@ -95,7 +95,7 @@ def forward_pct_range(df: DataFrame, n: int = 5) -> DataFrame:
 
 def _calendar_extremes(lo: int, hi: int):
     """Count, min, max and last date of positive prices lo..hi days away."""
-    f = series_window().rangeBetween(lo, hi)
+    f = days_around(lo, hi)
     good = F.when(F.col(PRICE) > 0, F.col(PRICE))
     return (F.count(good).over(f), F.min(good).over(f), F.max(good).over(f),
             F.max(F.when(F.col(PRICE) > 0, F.col(DATE))).over(f))
@@ -120,7 +120,7 @@ def forward_calendar_range(df: DataFrame, horizon: int, min_obs: int = 1) -> Dat
 
 def forward_window_range_excl(df: DataFrame, horizon: int) -> DataFrame:
     """Range of the prices in (t, t + H] without P_t."""
-    f = series_window().rangeBetween(1, horizon)
+    f = days_around(1, horizon)
     spread = F.max(PRICE).over(f) - F.min(PRICE).over(f)
     s = f"{horizon}d"
     return df.select("*", spread.alias(f"window_range_{s}"),

@@ -14,6 +14,7 @@ from granary.plans.metrics import MARKETS as _MARKETS
 from granary.plans.metrics import boot_sql, reg_sql
 from granary.plans.registry import W, days, lag, query, rows
 from granary.schemas import OBS_KEY, SERIES
+from granary.session import materialize
 from granary.sources import adapters as A
 
 E4 = "0.0001::DOUBLE"
@@ -23,6 +24,11 @@ def obs(spark, folder):
     return A.observations(spark, folder)
 
 
+def stored_obs(spark, folder):
+    """The observation table written once, for reports that read it several times."""
+    return materialize(A.observations(spark, folder), "observations")
+
+
 def _fid(model, origin="origin_date"):
     return (f"substr(sha256(lower(market) || '|' || lower(variety) || '|' || strftime({origin}, '%Y-%m-%d') || '|' || horizon || '|{model}'), 1, 16)")
 
@@ -299,7 +305,6 @@ SELECT forecasts, days, markets, days_ok, forecasts_ok, markets_ok, ece_ok, win_
   ~ci_high AS ci_high
 FROM g""")
 def k08(spark, folder):
-    from granary.session import materialize
     # several reports read the evaluated ledger
     return K.volatility_shadow_metrics(materialize(vol_resolved(spark, folder), "volatility-ledger"), 500, 10)
 
@@ -332,7 +337,7 @@ def k10(spark, folder):
 
 
 def _drift_inputs(spark, folder):
-    o = obs(spark, folder)
+    o = stored_obs(spark, folder)
     train, batch = o.filter("reported_date < '2000-01-01'"), o.filter("reported_date >= '2001-06-01'")
     # the batch of one market is shifted
     batch = batch.withColumn(P, F.when(F.col("market") == "NATION_5", F.col(P) * 2).otherwise(F.col(P)))
@@ -384,7 +389,7 @@ AS_OF = "2000-06-30"
 
 
 def daily_run(spark, folder):
-    stored = obs(spark, folder).filter("reported_date < '2000-06-01'").select(*OBS_KEY, P, "arrivals")
+    stored = stored_obs(spark, folder).filter("reported_date < '2000-06-01'").select(*OBS_KEY, P, "arrivals")
     raw = A.raw_observations(spark, folder)
     from granary.functions.scalars import parse_dates
     d = parse_dates(F.col("reported_date"))
@@ -491,7 +496,7 @@ SELECT origin_date, horizon, status, count(*) AS n, 0::BIGINT AS new_on_rerun,
   ~avg(abs_error) AS mae
 FROM r1 GROUP BY ALL""")
 def k15(spark, folder):
-    o = obs(spark, folder)
+    o = stored_obs(spark, folder)
     first = K.replay_origins(o, ORIGINS)
     again = K.replay_origins(o, ORIGINS, existing=first)
     done = K.resolve_price_outcomes(first, o)

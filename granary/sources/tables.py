@@ -60,18 +60,21 @@ def require_columns(df: DataFrame, required: Sequence[str],
 
 
 def typed_observations(df: DataFrame) -> DataFrame:
-    """Parse the text columns of canonical raw rows."""
+    """Parse the text columns of canonical raw rows, each exactly once.
+
+    The parsed values leave as one generated struct per row. Without that step
+    the optimizer copies the parsing expressions into every later filter.
+    """
     numbers = {"arrivals", "min_price", "max_price", "modal_price"}
-    cols = []
+    parsed = []
     for c in df.columns:
-        col = F.col(c)
         if c in numbers:
-            cols.append(parse_double(col).alias(c))
+            parsed.append(parse_double(F.col(c)).alias(c))
         elif c == "reported_date":
-            cols.append(parse_dates(col).alias(c))
-        else:
-            cols.append(col)
-    return df.select(*cols)
+            parsed.append(parse_dates(F.col(c)).alias(c))
+    names = {f"_parsed.{c}" for c in df.columns if c in numbers or c == "reported_date"}
+    rows = df.select("*", F.explode(F.array(F.struct(*parsed))).alias("_parsed"))
+    return rows.select(*[F.col(f"_parsed.{c}") if f"_parsed.{c}" in names else F.col(c) for c in df.columns])
 
 
 def extract_subset(df: DataFrame, state: str, crop: str, state_col: str = "state",

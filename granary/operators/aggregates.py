@@ -24,7 +24,7 @@ def time_profiles(obs: DataFrame) -> DataFrame:
     g = base.select("n", "s", "q", F.explode(kinds).alias("k")).groupBy("k.profile", "k.period").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     n = F.col("n")
-    var = (F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)
+    var = F.try_divide(F.col("q") - F.col("s") * F.col("s") / n, n - 1)
     return g.select("profile", "period", "n", (F.col("s") / n).alias("mean"),
                     F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"))
 
@@ -62,7 +62,7 @@ def gap_distribution(obs: DataFrame) -> DataFrame:
 def flat_price_share(split: DataFrame, target_change: str = "future_change") -> DataFrame:
     """% of zero steps between rows and of zero target changes, per split role."""
     d = F.col(PRICE) - F.lag(PRICE).over(series_window())
-    share = lambda c: F.count_if(c == 0) / F.count(c) * 100
+    share = lambda c: F.try_divide(F.count_if(c == 0), F.count(c)) * 100
     return split.select("role", d.alias("_d"), F.col(target_change).alias("_t")).groupBy("role").agg(
         F.count("*").alias("n"), share(F.col("_d")).alias("flat_step_pct"), share(F.col("_t")).alias("flat_target_pct"))
 
@@ -90,7 +90,7 @@ def offset_stats(df: DataFrame, col: str) -> DataFrame:
     s = by.agg(F.sum("n").alias("n"), F.sum(x * n).alias("s"), F.sum(x * x * n).alias("q"), F.min(col).alias("min"),
                F.max(col).alias("max"), F.percentile(x, [0.25, 0.5, 0.75], n).alias("p"))
     mean = F.col("s") / F.col("n")
-    return s.select("n", mean.alias("mean"), F.sqrt((F.col("q") - F.col("s") * mean) / (F.col("n") - 1)).alias("std"),
+    return s.select("n", mean.alias("mean"), F.sqrt(F.try_divide(F.col("q") - F.col("s") * mean, F.col("n") - 1)).alias("std"),
                     "min", F.col("p")[0].alias("p25"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p75"), "max")
 
 
@@ -105,7 +105,7 @@ def obs_window_span(obs: DataFrame, n: int = 5) -> DataFrame:
         F.count("*").alias("n"), F.avg("span").alias("mean_span"),
         F.percentile("span", 0.5).alias("median_span"), F.percentile("span", 0.9).alias("p90_span"),
         F.max("span").alias("max_span"),
-        (F.count_if(F.col("future_nominal_range") == 0) / F.count("*") * 100).alias("zero_range_pct")).select(
+        (F.try_divide(F.count_if(F.col("future_nominal_range") == 0), F.count("*")) * 100).alias("zero_range_pct")).select(
         "*", med("future_nominal_range").alias("median_nonzero_range"),
         med("future_pct_range").alias("median_nonzero_pct_range"))
 
@@ -152,7 +152,7 @@ def series_profile(df: DataFrame, max_gap: int = 7) -> DataFrame:
     rows = df.select(*SERIES, PRICE, d.alias("_d"), g.alias("_g"))
     return rows.groupBy(*SERIES).agg(
         F.count("*").alias("n"), F.avg(PRICE).alias("price_mean"), F.stddev_samp(PRICE).alias("price_std"),
-        (F.count_if(F.col("_d") == 0) / F.count("_d") * 100).alias("zero_pct"),
+        (F.try_divide(F.count_if(F.col("_d") == 0), F.count("_d")) * 100).alias("zero_pct"),
         F.stddev_samp("_d").alias("change_std"),
         *[F.count_if(F.col("_g") == k).alias(f"gap_{k}") for k in range(1, max_gap + 1)],
         F.count_if(F.col("_g") > max_gap).alias("gap_longer"))

@@ -176,7 +176,7 @@ def thresholds_nonzero_median(df: DataFrame, col: str, cutoff: float = ZERO_MOVE
     above = df.filter(F.col(col) > cutoff)
     median = exact_quantiles(above, col, {"m": 0.5}).scalar()
     return df.agg(F.count(col).alias("n_values"),
-                  (F.count_if(F.col(col) <= cutoff) / F.count(col) * 100).alias("zero_pct")).select(
+                  (F.try_divide(F.count_if(F.col(col) <= cutoff), F.count(col)) * 100).alias("zero_pct")).select(
         F.lit(cutoff).alias("low"), median.alias("high"), "n_values", "zero_pct")
 
 

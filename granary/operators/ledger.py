@@ -234,7 +234,8 @@ def price_shadow_metrics(ledger: DataFrame, tolerance: float = M.TOLERANCE) -> D
     aggs |= {k: v for k, v in (m | b).items() if k not in ("n", "n_persistence")}
     aggs |= {"mae_delta": F.avg(diff), "mae_delta_low": F.when(enough, F.avg(diff) - half),
              "mae_delta_high": F.when(enough, F.avg(diff) + half),
-             "win_rate_pct": F.count_if(ev & (F.col("abs_error") <= F.col("persistence_abs_error"))) / F.count_if(ev) * 100}
+             "win_rate_pct": F.try_divide(
+                 F.count_if(ev & (F.col("abs_error") <= F.col("persistence_abs_error"))), F.count_if(ev)) * 100}
     out = ledger.groupBy("horizon", "cohort").agg(*[e.alias(k) for k, e in aggs.items()])
     return out.withColumn("gate", F.when(F.col("mae_delta") <= 0, "PASSES_BENCHMARK")
                           .when(F.col("mae_delta") > 0, "EXPERIMENTAL_DEFICIT_CONFIRMED"))
@@ -257,7 +258,7 @@ def volatility_shadow_metrics(ledger: DataFrame, reps: int = 500, min_obs: int =
     ece = M.ece_classwise(ev, "actual_class").filter("label = 'ALL'").agg(F.max("ece")).scalar()
     brier = M.brier_multiclass(ev, "actual_class").agg(F.max("brier")).scalar()
     markets = M.market_level_comparison(ev, "actual_class", "predicted_class", "persistence_class", min_obs)
-    wins = markets.agg(F.count_if(F.col("outcome") == "win") / F.count("*") * 100).scalar()
+    wins = markets.agg(F.try_divide(F.count_if(F.col("outcome") == "win"), F.count("*")) * 100).scalar()
     boot = row_scalar(M.mean_delta_bootstrap(markets, "market", "delta_macro_f1", reps))
     evidence = wide.select(
         ml["n_ml"].alias("forecasts"), "days", "markets", ml["accuracy_ml"].alias("accuracy"),

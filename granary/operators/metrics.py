@@ -35,7 +35,7 @@ def regression_aggs(y, pred, tolerance: float = TOLERANCE, suffix: str = "") ->
     mape = F.avg(F.when(y != 0, err / F.abs(y))) * 100
     out = {"n": n, "mae": F.avg(err), "rmse": F.sqrt(F.avg(err * err)),
            "r2": F.when((n >= 2) & (sst > 0), 1 - sse / sst), "mape": mape, "mape_accuracy": 100 - mape,
-           "within_tolerance_pct": F.count_if(err <= tolerance) / n * 100}
+           "within_tolerance_pct": F.try_divide(F.count_if(err <= tolerance), n) * 100}
     return {f"{k}{suffix}": v for k, v in out.items()}
 
 
@@ -88,7 +88,7 @@ def directional_accuracy(df: DataFrame, y: str, model: str, current: str, by: Se
     n = F.count("*")
     sst = F.var_pop(t) * n
     return df.groupBy(*by).agg(
-        n.alias("n"), (F.count_if(F.signum(t) == F.signum(p)) / n * 100).alias("directional_accuracy_pct"),
+        n.alias("n"), (F.try_divide(F.count_if(F.signum(t) == F.signum(p)), n) * 100).alias("directional_accuracy_pct"),
         F.when(sst > 0, 1 - F.sum((t - p) * (t - p)) / sst).alias("r2_change"), F.avg(F.abs(t)).alias("naive_mae"))
 
 
@@ -309,7 +309,7 @@ def tier_summary(markets: DataFrame) -> DataFrame:
         F.count("*").alias("markets"), F.avg("n").alias("mean_n"), F.avg("ml_macro_f1").alias("mean_ml_macro_f1"),
         F.avg("base_macro_f1").alias("mean_base_macro_f1"), F.avg("delta_macro_f1").alias("mean_delta"),
         F.count_if(F.col("outcome") == "win").alias("wins"), F.count_if(F.col("outcome") == "loss").alias("losses"),
-        (F.count_if(F.col("outcome") == "win") / F.count("*") * 100).alias("win_rate_pct"))
+        (F.try_divide(F.count_if(F.col("outcome") == "win"), F.count("*")) * 100).alias("win_rate_pct"))
 
 
 def bootstrap_replicates(clusters: DataFrame, order: str, sums: Sequence[str], reps: int, seed: str = "42") -> DataFrame:
@@ -334,10 +334,10 @@ def clustered_bootstrap(df: DataFrame, cluster: str, base_error: str, model_erro
                                    F.count("*").cast("double").alias("n"))
     rep = bootstrap_replicates(sums, cluster, ["b", "m", "n"], reps, seed).select(
         ((F.col("b") - F.col("m")) / F.col("n")).alias("d"))
-    observed = sums.agg(((F.sum("b") - F.sum("m")) / F.sum("n"))).scalar()
+    observed = sums.agg(F.try_divide(F.sum("b") - F.sum("m"), F.sum("n"))).scalar()
     # reps rows, a parameter
     return rep.agg(F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high"),
-                   (F.count_if(F.col("d") > 0) / F.count("*") * 100).alias("prob_better_pct"),
+                   (F.try_divide(F.count_if(F.col("d") > 0), F.count("*")) * 100).alias("prob_better_pct"),
                    F.count("*").alias("replicates")).select(observed.alias("observed"), "*")
 
 
@@ -347,8 +347,8 @@ def mean_delta_bootstrap(df: DataFrame, cluster: str, delta: str, reps: int = 10
     rep = bootstrap_replicates(rows, cluster, ["s", "n"], reps, seed).select((F.col("s") / F.col("n")).alias("d"))
     mean = rows.agg(F.avg("s")).scalar()
     out = rep.agg(F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high"),
-                  (F.count_if(F.col("d") <= 0) / F.count("*")).alias("lo"),
-                  (F.count_if(F.col("d") >= 0) / F.count("*")).alias("hi"))
+                  F.try_divide(F.count_if(F.col("d") <= 0), F.count("*")).alias("lo"),
+                  F.try_divide(F.count_if(F.col("d") >= 0), F.count("*")).alias("hi"))
     return out.select(mean.alias("mean_delta"), "ci_low", "ci_high",
                       F.least(F.when(mean > 0, F.col("lo")).otherwise(F.col("hi")) * 2, F.lit(1.0)).alias("p_value"))
 
@@ -382,8 +382,8 @@ def paired_tests(df: DataFrame, a: str, b: str) -> DataFrame:
                 F.sum(n * n * n - n).alias("ties"), F.sum(n).alias("m"))
     m = F.col("m")
     var = m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48
-    z = (F.col("w_plus") - m * (m + 1) / 4) / F.sqrt(var)
-    t_stat = t["mean"] / (t["sd"] / F.sqrt(t["n"]))
+    z = F.try_divide(F.col("w_plus") - m * (m + 1) / 4, F.sqrt(var))
+    t_stat = F.try_divide(t["mean"], F.try_divide(t["sd"], F.sqrt(t["n"])))
     return w.select(t["n"].alias("n"), t["mean"].alias("mean_difference"), t_stat.alias("t_statistic"),
                     (2 * normal_tail(t_stat)).alias("t_p_value"), "w_plus", "w_minus",
                     F.least("w_plus", "w_minus").alias("wilcoxon_statistic"), z.alias("wilcoxon_z"),

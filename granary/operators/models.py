@@ -43,7 +43,7 @@ def majority_class(df: DataFrame, train: DataFrame, label: str) -> DataFrame:
 
 def stratified_class(df: DataFrame, train: DataFrame, label: str, keys: Sequence[str], seed: str = "42") -> DataFrame:
     """A class drawn with the training shares; the md5 of the key is the random number."""
-    share = row_scalar(train.agg(*[(F.count_if(F.col(label) == k) / F.count(label)).alias(k) for k in CLASSES]))
+    share = row_scalar(train.agg(*[F.try_divide(F.count_if(F.col(label) == k), F.count(label)).alias(k) for k in CLASSES]))
     digest = F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])), 1, 8)
     u = F.conv(digest, 16, 10).cast("double") / float(2 ** 32)
     low, mid = share["LOW"], share["LOW"] + share["MEDIUM"]

@@ -164,8 +164,9 @@ def vol_ledger(spark, folder):
     from granary.functions.scalars import classify3
     from granary.functions.windows import trailing
     from granary.operators.labels import past_calendar_persistence
+    # without a report in the past 14 days nothing moved
     r = past_calendar_persistence(o, 14).select(
-        *OBS_KEY, P, classify3(F.col("past_pct_range_14d"), 60.0, 150.0).alias("persistence_class"))
+        *OBS_KEY, P, F.coalesce(classify3(F.col("past_pct_range_14d"), 60.0, 150.0), F.lit("LOW")).alias("persistence_class"))
     kn = F.count("persistence_class").over(trailing(w, 32))
     share = lambda k: F.count_if(F.col("persistence_class") == k).over(trailing(w, 32)) / 32.0
     s = r.select("*", F.row_number().over(w).alias("rn"), kn.alias("kn"), *[share(k).alias(p) for k, p in zip(M.CLASSES, M.PROBS)])
@@ -180,7 +181,7 @@ def vol_ledger(spark, folder):
 _SH = ", ".join(f"count(*) FILTER (persistence_class = '{k}') OVER {rows(-31, 0)} / 32 AS {p}" for k, p in zip(M.CLASSES, M.PROBS))
 VOL_LEDGER = f"""hist AS (SELECT * FROM @obs@),
 vh AS (SELECT o.*, count(*) OVER {days(-14, -1)} AS n, min({P}) OVER {days(-14, -1)} AS lo, max({P}) OVER {days(-14, -1)} AS hi FROM hist o),
-vc AS (SELECT *, {c3(f"(CASE WHEN n >= 1 THEN (greatest(hi, {P}) - least(lo, {P})) / ({P} + {E4}) * 100 END)", 60, 150)} AS persistence_class FROM vh),
+vc AS (SELECT *, coalesce({c3(f"(CASE WHEN n >= 1 THEN (greatest(hi, {P}) - least(lo, {P})) / ({P} + {E4}) * 100 END)", 60, 150)}, 'LOW') AS persistence_class FROM vh),
 vs AS (SELECT *, row_number() OVER {W} AS rn, count(persistence_class) OVER {rows(-31, 0)} AS kn, {_SH} FROM vc),
 vl AS (SELECT sha256(commodity || '|' || market || '|' || variety || '|' || strftime(reported_date, '%Y-%m-%d')) AS forecast_id, commodity, market, variety,
     reported_date AS origin_date, {P} AS origin_price, persistence_class, CASE WHEN p_low = greatest(p_low, p_medium, p_high) THEN 'LOW'

@@ -158,7 +158,7 @@ def k04(spark, folder):
 
 
 def vol_ledger(spark, folder):
-    """Volatility forecasts at each 30th row, from the same class shares as a live run."""
+    """Volatility forecasts at every row with 32 rows of history, from class shares as in a live run."""
     o = obs(spark, folder)
     w = T.series_window()
     from granary.functions.scalars import classify3
@@ -167,11 +167,10 @@ def vol_ledger(spark, folder):
     # without a report in the past 14 days nothing moved
     r = past_calendar_persistence(o, 14).select(
         *OBS_KEY, P, F.coalesce(classify3(F.col("past_pct_range_14d"), 60.0, 150.0), F.lit("LOW")).alias("persistence_class"))
-    kn = F.count("persistence_class").over(trailing(w, 32))
     share = lambda k: F.count_if(F.col("persistence_class") == k).over(trailing(w, 32)) / 32.0
-    s = r.select("*", F.row_number().over(w).alias("rn"), kn.alias("kn"), *[share(k).alias(p) for k, p in zip(M.CLASSES, M.PROBS)])
+    s = r.select("*", F.row_number().over(w).alias("rn"), *[share(k).alias(p) for k, p in zip(M.CLASSES, M.PROBS)])
     _, label = M.top1()
-    return s.filter("rn % 10 = 0 AND kn = 32").select(
+    return s.filter("rn >= 32").select(
         F.sha2(F.concat_ws("|", *OBS_KEY), 256).alias("forecast_id"), *SERIES, F.col("reported_date").alias("origin_date"),
         F.lit(14).alias("horizon"), F.col(P).alias("origin_price"), "persistence_class", label.alias("predicted_class"), *M.PROBS,
         F.date_add("reported_date", 1).alias("window_start"), F.date_add("reported_date", 14).alias("window_end"),
@@ -182,11 +181,11 @@ _SH = ", ".join(f"count(*) FILTER (persistence_class = '{k}') OVER {rows(-31, 0)
 VOL_LEDGER = f"""hist AS (SELECT * FROM @obs@),
 vh AS (SELECT o.*, count(*) OVER {days(-14, -1)} AS n, min({P}) OVER {days(-14, -1)} AS lo, max({P}) OVER {days(-14, -1)} AS hi FROM hist o),
 vc AS (SELECT *, coalesce({c3(f"(CASE WHEN n >= 1 THEN (greatest(hi, {P}) - least(lo, {P})) / ({P} + {E4}) * 100 END)", 60, 150)}, 'LOW') AS persistence_class FROM vh),
-vs AS (SELECT *, row_number() OVER {W} AS rn, count(persistence_class) OVER {rows(-31, 0)} AS kn, {_SH} FROM vc),
+vs AS (SELECT *, row_number() OVER {W} AS rn, {_SH} FROM vc),
 vl AS (SELECT sha256(commodity || '|' || market || '|' || variety || '|' || strftime(reported_date, '%Y-%m-%d')) AS forecast_id, commodity, market, variety,
     reported_date AS origin_date, {P} AS origin_price, persistence_class, CASE WHEN p_low = greatest(p_low, p_medium, p_high) THEN 'LOW'
       WHEN p_medium = greatest(p_low, p_medium, p_high) THEN 'MEDIUM' ELSE 'HIGH' END AS predicted_class, p_low, p_medium, p_high,
-    reported_date + 14 AS window_end FROM vs WHERE rn % 10 = 0 AND kn = 32),
+    reported_date + 14 AS window_end FROM vs WHERE rn >= 32),
 vm AS (SELECT l.forecast_id, count(*) AS n, min(o.{P}) AS lo, max(o.{P}) AS hi FROM vl l JOIN @obs@ o ON l.market = o.market AND l.variety = o.variety
     AND o.reported_date > l.origin_date AND o.reported_date <= l.window_end GROUP BY 1),
 vr AS (SELECT l.*, CASE WHEN window_end > DATE '{CUT}' THEN 'PENDING' WHEN n > 0 THEN 'EVALUATED' ELSE 'WINDOW_EMPTY' END AS status,

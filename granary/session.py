@@ -31,11 +31,13 @@ def build_session(app: str = "granary", master: str | None = None, **conf) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is made
-    and written back to the session, so that later calls agree on it.
+    A local session that names none gets a temporary folder, written back to the session so that later
+    calls agree on it; on a cluster the folder must be named, as executors do not see the driver's disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -164,8 +164,7 @@ def _may_link(x: str, y: str, p: int, q: int) -> Column:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes that link, compared by their whole sets."""
-    pairs = saved(pairs, "pairs")
+    """Those of the written pairs (a, b) of classes that link, compared by their whole sets."""
     wanted = saved(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
     texts = docs.join(classes.join(wanted, "class").select(F.col("doc_id").alias("_id")).distinct(),
                       F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -199,7 +198,7 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
 
     about = lambda c: classes.select(F.col("class").alias(c), "size", "parity").alias(f"c{c}")
     first = buckets.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    first = first.join(about("a"), "a").join(about("b"), "b").where(_may_link("ca", "cb", p, q)).select("a", "b")
+    first = saved(first.join(about("a"), "a").join(about("b"), "b").where(_may_link("ca", "cb", p, q)).select("a", "b"), "pairs")
     links = saved(_linked(first, docs, classes, width, p, q), "links")
     roots = components(links)
 
@@ -212,7 +211,7 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
     second = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.class") < F.col("y.class"))
                     & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", p, q)).select(
         F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    second = saved(second.join(saved(first, "tried"), ["a", "b"], "left_anti"), "second")
+    second = saved(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = saved(_linked(second, docs, classes, width, p, q), "links")
         if not more.isEmpty():

@@ -100,3 +100,22 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
 FROM d
 """
+
+SQL["op2_jaccard_join"] = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 3, 1) + 1),
+    i -> array_to_string(words[i:i + 3], ' '))) END AS features FROM split),
+features AS MATERIALIZED (SELECT doc_id, hash(unnest(features)) AS f FROM sets),
+sizes AS MATERIALIZED (SELECT doc_id, CAST(len(features) AS BIGINT) AS n FROM sets),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM features a JOIN features b ON a.f = b.f AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * shared >= 85 * (s.n + t.n - shared)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT e.y, r.seen FROM reach r JOIN edges e ON e.x = r.doc_id)
+SELECT s.doc_id, s.n AS n_shingles, min(r.seen) AS component_id FROM sizes s JOIN reach r USING (doc_id) GROUP BY ALL
+"""

@@ -107,7 +107,7 @@ WITH RECURSIVE split AS (
     '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 3, 1) + 1),
-    i -> array_to_string(words[i:i + 3], ' '))) END AS features FROM split),
+    lambda i: array_to_string(words[i:i + 3], ' '))) END AS features FROM split),
 features AS MATERIALIZED (SELECT doc_id, hash(unnest(features)) AS f FROM sets),
 sizes AS MATERIALIZED (SELECT doc_id, CAST(len(features) AS BIGINT) AS n FROM sets),
 common AS (

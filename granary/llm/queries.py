@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ann, bpe, chat, jaccard, mixing, quality, secrets, warc
+from granary.llm import ann, bpe, chat, jaccard, mixing, quality, search, secrets, unigram, warc
 from granary.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op5_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return search.top_documents(docs, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10)
+
+
 @query
 def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -47,6 +53,11 @@ def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.assembled(chat.format_turns(turns.union(planted))))
 
 
+@query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.counted(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), k=10, every=100)
@@ -119,3 +130,20 @@ reach(doc_id, seen) AS (
   SELECT doc_id, doc_id FROM sizes UNION SELECT e.y, r.seen FROM reach r JOIN edges e ON e.x = r.doc_id)
 SELECT s.doc_id, s.n AS n_shingles, min(r.seen) AS component_id FROM sizes s JOIN reach r USING (doc_id) GROUP BY ALL
 """
+
+SQL["op5_search"] = """
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+stats AS (SELECT count(*) AS total, sum(len(words)) / count(*) AS mean FROM split),
+postings AS MATERIALIZED (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(words) AS n, unnest(words) AS term FROM split) GROUP BY ALL),
+weights AS MATERIALIZED (
+  SELECT doc_id, term, ln(1 + (total - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)))::DOUBLE AS w
+  FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM postings), stats),
+scores AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(d.w), 9) AS score
+  FROM weights q JOIN weights d ON q.term = d.term AND q.doc_id <> d.doc_id WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

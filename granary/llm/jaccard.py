@@ -10,10 +10,10 @@ makes their signatures hold more features; the others n2 = 2, with some parts to
 empty cells than there are spare ones need not sign for empty cells, for it shares a cell that is not empty.
 
 After one shuffle by signature only shared signatures remain. Pairs are not enumerated within them: every text is
-compared with the smallest one of its bucket, components are made of the links found, and only pairs of a bucket
-that lie in different components are compared after that, once a bound has let them pass: the parities of 512 sums
-of features differ in at most as many places as the sets. So no link between different components is lost, and a
-large group of near copies costs one comparison per member and bucket leader.
+compared with one bucket leader (the smallest text of a bucket), the one it shares most signatures with; components are
+made of the links found, and only pairs of a bucket that lie in different components are compared after that, once
+a bound has let them pass: the parities of 512 counts of features differ in at most as many places as the sets. So
+no link between different components is lost, and a large group of near copies costs one comparison per member.
 
 Texts are compared as classes of equal sets; a task signs for each class once. Null and empty texts have size 0, are
 linked with nothing and are their own component; null ids are allowed, their rows are linked like others and carry
@@ -163,16 +163,46 @@ def _may_link(x: str, y: str, p: int, q: int) -> Column:
     return (low * q >= high * p) & (differ * (q + p) <= (low + high) * (q - p))
 
 
+def _least_shared(x: int, y: int, p: int, q: int) -> int:
+    """Signatures that linked sets of sizes x and y share at least.
+
+    They differ in at most d features, so all but d cells of a scope are equal; a set leaves out no more empty ones
+    than the scope has to spare.
+    """
+    low, high, d = min(x, y), max(x, y), (x + y) * (q - p) // (q + p)
+    starts = bands(p, q)
+    band_low, band_high = (int(np.searchsorted(starts, n, "right")) - 1 for n in (low, high))
+    least = 0
+    for at in {band_high, band_low + 1}:
+        if band_low < at - 1 or at == band_high + 1 and low * q // p < starts[at]:
+            continue
+        cells, per_part, spare = scope(at, p, q)
+        if cells:
+            least += max(1, cells - d - spare) if per_part == 2 else 1
+    return max(1, least)
+
+
+def _enough_shared(pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b, x, y, shared) to those pairs (a, b) that share as many signatures as linked sets do."""
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "shared")), strict=True)
+            good = pa.array([shared >= _least_shared(x, y, p, q) for x, y, shared in numbers], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+    return in_arrow(pairs, stage, "a binary, b binary")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p: int, q: int) -> DataFrame:
     """Those of the written pairs (a, b) of classes that link, compared by their whole sets."""
     wanted = saved(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
-    texts = docs.join(classes.join(wanted, "class").select(F.col("doc_id").alias("_id")).distinct(),
-                      F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    full = saved(_features(texts, width).join(wanted, "class", "left_semi").dropDuplicates(["class"]), "features")
+    # written, so that its size is known when the join with the texts is planned
+    ids = saved(classes.join(wanted, "class").select(F.col("doc_id").alias("_id")).distinct(), "ids")
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    full = saved(_features(texts, width).join(wanted, "class", "left_semi"), "features")
     x, y = (full.select(F.col("class").alias(c), F.col("features").alias(f"{c}_set")) for c in "ab")
     common = F.size(F.array_intersect("a_set", "b_set"))
     both = pairs.join(x, "a").join(y, "b")
-    return both.where(common * q >= (F.size("a_set") + F.size("b_set") - common) * p).select("a", "b")
+    return both.where(common * q >= (F.size("a_set") + F.size("b_set") - common) * p).select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -197,8 +227,10 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
     buckets = saved(shared.join(leaders.drop("top"), "sign"), "buckets")
 
     about = lambda c: classes.select(F.col("class").alias(c), "size", "parity").alias(f"c{c}")
-    first = buckets.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    first = saved(first.join(about("a"), "a").join(about("b"), "b").where(_may_link("ca", "cb", p, q)).select("a", "b"), "pairs")
+    # one comparison per class at first: with the leader it shares most signatures with
+    first = buckets.where("class <> leader").groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).count()
+    first = first.join(about("a"), "a").join(about("b"), "b").where(_may_link("ca", "cb", p, q))
+    first = saved(first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "pairs")
     links = saved(_linked(first, docs, classes, width, p, q), "links")
     roots = components(links)
 
@@ -210,7 +242,8 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
     x, y = open_rows.alias("x"), open_rows.alias("y")
     second = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.class") < F.col("y.class"))
                     & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", p, q)).select(
-        F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+        F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.size").alias("x"), F.col("y.size").alias("y"))
+    second = _enough_shared(second.groupBy("a", "b", "x", "y").agg(F.count("*").alias("shared")), p, q)
     second = saved(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = saved(_linked(second, docs, classes, width, p, q), "links")

@@ -35,8 +35,8 @@ BLOCK = 4_096
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """Exact k nearest other rows of each row, in blocks."""
     out, norms = [], (x * x).sum(1)
-    for at in range(0, len(x), 1024):
-        d = norms - 2 * x[at:at + 1024] @ x.T
+    for at in range(0, len(x), 256):
+        d = norms - 2 * x[at:at + 256] @ x.T
         d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
         out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
     return np.concatenate(out)
@@ -109,10 +109,8 @@ class Router:
         return out
 
 
-def learn(sample: np.ndarray, parts: int) -> Router | None:
-    """The router of a sample; None if there is but one part."""
-    if parts < 2 or len(sample) <= parts:
-        return None
+def learn(sample: np.ndarray, parts: int) -> Router:
+    """The router of a sample."""
     graph = neighbours(sample, min(GRAPH_K, len(sample) - 1))
     label = balanced_parts(sample, graph, parts)
     wanted = np.zeros((len(sample), parts))
@@ -121,6 +119,20 @@ def learn(sample: np.ndarray, parts: int) -> Router | None:
     return Router.fit(sample, wanted)
 
 
+def learned(entries: DataFrame, parts: int) -> Router | None:
+    """The router of a bounded sample of the vectors, fitted in one task; None for one part."""
+    if parts < 2:
+        return None
+    sample = entries.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector")
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = learn(np.concatenate([_matrix(b.column("vector")) for b in batches if b.num_rows]), parts)
+        yield pa.RecordBatch.from_arrays([pa.array([router.centre.tolist()]), pa.array([router.scale]), pa.array([router.weights.ravel().tolist()])],
+                                         ["centre", "scale", "weights"])
+    fitted = in_arrow(sample, stage, "centre array<double>, scale double, weights array<double>").first()
+    return Router(np.array(fitted.centre), fitted.scale, np.array(fitted.weights).reshape(-1, parts))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (array<double>) of the rows that take part, of the most frequent length."""
     x = F.transform("embedding", lambda v: v.cast("double"))
@@ -151,10 +163,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probes: int = PRO
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct()
     if not count:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    sample = entries.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
-    sample = _matrix(sample)
-    parts = max(1, min(count // PART_ROWS, len(sample) // 32))
-    router = learn(sample, parts)
+    parts = max(1, min(count // PART_ROWS, min(count, SAMPLE) // 32))
+    router = learned(entries, parts)
     visits = min(probes, parts)
 
     def route(column: str, n: int):

@@ -7,23 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A plain decimal number. Sentinels such as "N/A", "nan", "inf", "?" or "-" do not fit, nor does
-# an exponent that could overflow.
-NUMBER = r"^\s*([-+]?(?:\d{1,200}(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d{1,2})?)\s*$"
-
-# Date formats; slash and dash dates are day first. Fixed values.
-DATE_FORMATS = ("d MMM yyyy", "yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy")
-
-
-def parse_dates(col: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Date by whichever format fits, else NULL.
-
-    All formats are optional sections of one pattern, so a text is parsed once.
+# A decimal number. Sentinels such as "N/A", "nan", "inf", "?" or "-" do not fit.
+NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+
+# Spellings of a date that are brought to year-month-day; slash, dot and dash dates are day first. Fixed values.
+TIME_OF_DAY = r"[T ]+([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?\s*(Z|[AaPp][Mm]|[-+]\d{2}:?\d{2})?$"
+DATE_SHAPES = (
+    (r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4}|\d{2})$", "$3-$2-$1"),
+    (r"^(\d{1,2})[- /]?([A-Za-z]{3,9})\.?,?[- /]?(\d{4}|\d{2})$", "$3-$2-$1"),
+    (r"^([A-Za-z]{3,9})\.?[- ](\d{1,2}),?[- ](\d{4})$", "$3-$1-$2"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Two-digit years from this one on are of the last century.
+PIVOT_YEAR = 69
+
+
+def parse_dates(col: Column) -> Column:
+    """Date of a text in any usual spelling, with or without a time of day, else NULL.
+
+    Spellings are told apart by their shape, so that only one pattern is parsed per text; a date that does not
+    exist is NULL.
     """
-    text = F.trim(col.cast("string"))
-    pattern = "".join(f"[{f}]" for f in formats)
-    # an empty text would satisfy a pattern of optional parts only
-    return F.when(F.length(text) > 0, F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
+    text = F.regexp_replace(F.trim(col.cast("string")), TIME_OF_DAY, "")
+    for shape, order in DATE_SHAPES:
+        text = F.regexp_replace(text, shape, order)
+    part = lambda i: F.try_element_at(F.split(text, "[-/.]"), F.lit(i))
+    names = [(name, i) for i, full in enumerate(MONTHS, 1) for name in dict.fromkeys((full, full[:3]))] + [("sept", 9)]
+    month = F.when(part(2).rlike("^[A-Za-z]"), F.try_element_at(
+        F.create_map(*(F.lit(x) for pair in names for x in (pair[0], str(pair[1])))), F.lower(part(2)))).otherwise(part(2))
+    year = F.when(F.length(part(1)) == 2, F.concat(F.when(part(1) >= str(PIVOT_YEAR), "19").otherwise("20"), part(1))).otherwise(part(1))
+    fits = text.rlike(r"^(\d{4}|\d{2})[-/.]([A-Za-z]{3,9}|\d{1,2})[-/.]\d{1,2}$")
+    return F.when(fits, F.try_to_timestamp(F.concat_ws("-", year, month, part(3)), F.lit("y-M-d")).cast("date"))
 
 
 def finite(col: Column) -> Column:
@@ -34,7 +48,8 @@ def finite(col: Column) -> Column:
 
 def parse_double(col: Column) -> Column:
     """Lenient number parsing; anything that is no finite number becomes NULL."""
-    return F.regexp_extract(col.cast("string"), NUMBER, 1).try_cast("double")
+    text = F.trim(col.cast("string"))
+    return finite(F.when(text.rlike(NUMBER), text).try_cast("double"))
 
 
 def positive(col: Column) -> Column:

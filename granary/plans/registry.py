@@ -89,6 +89,11 @@ def lag(col: str, k: int = 1, part: str = SER, order: str = "reported_date") ->
     return f"lag({col}, {k}) OVER (PARTITION BY {part} ORDER BY {order})"
 
 
+# Every spelling that the raw table holds; two-digit years before four-digit ones, which would read them too.
+DAY_SQL = """CAST(coalesce(%s) AS DATE)""" % ", ".join(f"try_strptime(reported_date, '{f}')" for f in (
+    "%d %b %Y", "%Y-%m-%d", "%d/%m/%y", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d",
+    "%d-%b-%Y", "%d %B %Y", "%b %d, %Y"))
+
 BASE: dict[str, str] = {
     "lines": """
         SELECT l.*, n_name, n_regionkey, n_nationkey,
@@ -106,24 +111,29 @@ BASE: dict[str, str] = {
           l_returnflag AS variety,
           CASE WHEN l_linestatus = 'F' THEN ' Cereals' ELSE 'PULSES' END AS "group",
           CASE WHEN m = 18 THEN NULL WHEN m = 19 THEN '-4' WHEN m = 21 THEN 'nan'
+               WHEN m = 22 THEN '1e999' WHEN m = 23 THEN '125e-002'
                ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS arrivals,
           CASE WHEN m = 11 THEN '0' WHEN m = 13 THEN hi ELSE lo END AS min_price,
           CASE WHEN m = 12 THEN '0' WHEN m = 13 THEN lo ELSE hi END AS max_price,
           CASE WHEN m = 7 THEN 'N/A' WHEN m = 8 THEN '0' WHEN m = 9 THEN '-5'
                WHEN m = 14 THEN CAST(CAST(hi AS BIGINT) + 1 AS VARCHAR)
                ELSE CAST(CAST(price AS BIGINT) AS VARCHAR) END AS modal_price,
-          CASE WHEN m = 3 THEN 'not a date' WHEN m % 4 = 1 THEN strftime(day, '%d %b %Y')
+          CASE WHEN m = 3 THEN 'not a date' WHEN m = 25 THEN strftime(day, '%Y-02-31')
+               WHEN m = 20 THEN strftime(day, '%Y-%m-%d 00:00:00') WHEN m = 24 THEN strftime(day, '%Y-%m-%dT00:00:00')
+               WHEN m = 28 THEN strftime(day, '%Y-%-m-%-d') WHEN m = 32 THEN strftime(day, '%Y/%m/%d')
+               WHEN m = 36 THEN strftime(day, '%d-%b-%Y') WHEN m = 40 THEN strftime(day, '%-d %B %Y')
+               WHEN m = 44 THEN strftime(day, '%b %-d, %Y') WHEN m = 48 THEN strftime(day, '%d/%m/%y')
+               WHEN m % 4 = 1 THEN strftime(day, '%d %b %Y')
                WHEN m % 4 = 2 THEN strftime(day, '%d/%m/%Y') ELSE strftime(day, '%Y-%m-%d') END AS reported_date
         FROM (SELECT *, l_partkey % 50 AS m,
                 CAST(CAST(price AS BIGINT) - l_linenumber * 2 AS VARCHAR) AS lo,
                 CAST(CAST(price AS BIGINT) + l_linenumber * 3 AS VARCHAR) AS hi FROM @lines@)""",
     "typed": """
         SELECT commodity, state, district, market, variety, "group",
-          CASE WHEN lower(trim(arrivals)) = 'nan' THEN NULL ELSE TRY_CAST(arrivals AS DOUBLE) END AS arrivals,
+          CASE WHEN isfinite(TRY_CAST(arrivals AS DOUBLE)) THEN TRY_CAST(arrivals AS DOUBLE) END AS arrivals,
           TRY_CAST(min_price AS DOUBLE) AS min_price, TRY_CAST(max_price AS DOUBLE) AS max_price,
           TRY_CAST(modal_price AS DOUBLE) AS modal_price,
-          CAST(coalesce(try_strptime(reported_date, '%d %b %Y'), try_strptime(reported_date, '%Y-%m-%d'),
-                        try_strptime(reported_date, '%d/%m/%Y')) AS DATE) AS reported_date
+          @@DAY@@ AS reported_date
         FROM @obs_raw@""",
     "nation_orders": """
         SELECT n_name AS district, CAST(o_orderdate AS DATE) AS date, floor(o_totalprice + 0.5) AS total
@@ -159,3 +169,4 @@ BASE: dict[str, str] = {
                                                  ORDER BY reported_date) AS rn FROM @obs@)
               WHERE rn % 30 = 0)""",
 }
+BASE["typed"] = BASE["typed"].replace("@@DAY@@", DAY_SQL)

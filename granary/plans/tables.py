@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from granary.operators import upserts as U
-from granary.plans.registry import query
+from granary.plans.registry import DAY_SQL, query
 from granary.schemas import OBS_KEY, SERIES, WEATHER_COLUMNS
 from granary.session import scratch_path
 from granary.sources import adapters as A
@@ -78,9 +78,8 @@ def a05(spark, folder):
     return df.groupBy("market", "variety").agg(F.count("*").alias("n"), F.sum("arrivals").alias("arrivals_total"))
 
 
-@query("a06_parse_dates", """
-SELECT CAST(coalesce(try_strptime(reported_date, '%d %b %Y'), try_strptime(reported_date, '%Y-%m-%d'),
-    try_strptime(reported_date, '%d/%m/%Y')) AS DATE) AS reported_date,
+@query("a06_parse_dates", f"""
+SELECT {DAY_SQL} AS reported_date,
   count(*) AS n, count(DISTINCT reported_date) AS spellings
 FROM @obs_raw@ GROUP BY 1""")
 def a06(spark, folder):
@@ -93,7 +92,7 @@ def a06(spark, folder):
 SELECT modal_price AS text, TRY_CAST(modal_price AS DOUBLE) AS value, count(*) AS n
 FROM @obs_raw@ GROUP BY ALL
 UNION ALL
-SELECT arrivals, CASE WHEN arrivals = 'nan' THEN NULL ELSE TRY_CAST(arrivals AS DOUBLE) END, count(*)
+SELECT arrivals, CASE WHEN isfinite(TRY_CAST(arrivals AS DOUBLE)) THEN TRY_CAST(arrivals AS DOUBLE) END, count(*)
 FROM @obs_raw@ GROUP BY ALL""")
 def a07(spark, folder):
     raw = A.raw_observations(spark, folder)

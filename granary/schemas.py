@@ -44,16 +44,18 @@ WEATHER_PAYLOAD = T.StructType([
     ])),
 ])
 
-# Column aliases of raw market files, lower case. Fixed values.
+# Header spellings, compared in lower case with blanks for underscores; then texts that a header has to contain, for
+# columns that no spelling has named. Fixed values.
+OBSERVATION_CONTAINS = {"modal_price": ("modal price", "modalprice", "price"), "arrivals": ("arrivals", "arrival", "volume")}
 OBSERVATION_ALIASES = {
-    "state": ("state", "state name", "state_name"),
-    "district": ("district", "district name", "district_name"),
-    "market": ("market", "market name", "market_name", "mandi"),
-    "variety": ("variety", "variety name", "variety_name"),
+    "state": ("state", "state name"),
+    "district": ("district", "district name"),
+    "market": ("market", "market name", "mandi"),
+    "variety": ("variety", "variety name", "commodity variety", "crop variety"),
     "group": ("group", "commodity group"),
-    "arrivals": ("arrivals", "arrivals (tonnes)", "arrival", "arrivals_tonnes"),
-    "min_price": ("min_price", "min price", "min price (rs./quintal)"),
-    "max_price": ("max_price", "max price", "max price (rs./quintal)"),
-    "modal_price": ("modal_price", "modal price", "modal price (rs./quintal)", "price"),
-    "reported_date": ("reported_date", "reported date", "arrival_date", "date"),
+    "arrivals": ("arrivals", "arrivals (tonnes)", "arrivals tonnes", "arrival quantity"),
+    "min_price": ("min price", "min price (rs./quintal)"),
+    "max_price": ("max price", "max price (rs./quintal)"),
+    "modal_price": ("modal price", "modal price (rs./quintal)", "modal price rs quintal", "price"),
+    "reported_date": ("reported date", "date", "arrival date", "report date"),
 }

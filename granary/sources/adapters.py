@@ -57,13 +57,19 @@ def raw_observations(spark: SparkSession, folder: str, lines: DataFrame | None =
         .otherwise(F.col("n_name")).alias("market"),
         F.col("l_returnflag").alias("variety"),
         F.when(F.col("l_linestatus") == "F", " Cereals").otherwise("PULSES").alias("group"),
-        F.when(m == 18, F.lit(None).cast("string")).when(m == 19, "-4").when(m == 21, "nan")
+        F.when(m == 18, F.lit(None).cast("string")).when(m == 19, "-4").when(m == 21, "nan").when(m == 22, "1e999")
+        .when(m == 23, "125e-002")
         .otherwise(text(F.col("l_quantity").cast("long"))).alias("arrivals"),
         F.when(m == 11, "0").when(m == 13, text(high)).otherwise(text(low)).alias("min_price"),
         F.when(m == 12, "0").when(m == 13, text(low)).otherwise(text(high)).alias("max_price"),
         F.when(m == 7, "N/A").when(m == 8, "0").when(m == 9, "-5").when(m == 14, text(high + 1))
         .otherwise(text(price)).alias("modal_price"),
-        F.when(m == 3, "not a date").when(m % 4 == 1, F.date_format(day, "dd MMM yyyy"))
+        F.when(m == 3, "not a date").when(m == 25, F.date_format(day, "yyyy-02-31"))
+        .when(m == 20, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).when(m == 24, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(m == 28, F.date_format(day, "yyyy-M-d")).when(m == 32, F.date_format(day, "yyyy/MM/dd"))
+        .when(m == 36, F.date_format(day, "dd-MMM-yyyy")).when(m == 40, F.date_format(day, "d MMMM yyyy"))
+        .when(m == 44, F.date_format(day, "MMM d, yyyy")).when(m == 48, F.date_format(day, "dd/MM/yy"))
+        .when(m % 4 == 1, F.date_format(day, "dd MMM yyyy"))
         .when(m % 4 == 2, F.date_format(day, "dd/MM/yyyy"))
         .otherwise(F.date_format(day, "yyyy-MM-dd")).alias("reported_date"))
 

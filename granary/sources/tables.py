@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import parse_dates, parse_double
-from granary.schemas import (OBSERVATION_ALIASES, RAW_OBSERVATION, WEATHER_COLUMNS, WEATHER_PARAMETERS,
+from granary.schemas import (OBSERVATION_ALIASES, OBSERVATION_CONTAINS, RAW_OBSERVATION, WEATHER_COLUMNS, WEATHER_PARAMETERS,
                              WEATHER_PAYLOAD)
 
 MISSING_WEATHER = -999.0  # fixed value
@@ -30,21 +30,31 @@ def read_observations(spark: SparkSession, path: str, schema=RAW_OBSERVATION, fm
     return df.select(name.alias("commodity"), *[F.col(f"`{c}`") for c in df.columns])
 
 
-def resolve_aliases(columns: Iterable[str], aliases: Mapping[str, Sequence[str]]) -> dict[str, str]:
-    """canonical -> present column, matched without regard to case; metadata columns are ignored."""
-    present = {c.strip().lower(): c for c in columns}
+def resolve_aliases(columns: Iterable[str], aliases: Mapping[str, Sequence[str]],
+                    contains: Mapping[str, Sequence[str]] | None = None) -> dict[str, str]:
+    """canonical -> present column, matched without regard to case and underscores; metadata columns are ignored.
+
+    Exact spellings go first; a column that no spelling claims may serve by what its header contains, any price
+    column but minima and maxima as the last resort for the modal price.
+    """
+    present = {c.strip().lower().replace("_", " "): c for c in columns}
     found = {}
     for name, spellings in aliases.items():
         hit = next((present[s] for s in spellings if s in present), None)
         if hit is not None:
             found[name] = hit
+    rest = {k: c for k, c in present.items() if c not in found.values() and not any(w in k for w in ("date", "min ", "max "))}
+    for name, parts in (contains or {}).items():
+        hit = next((rest[k] for part in parts for k in rest if part in k), None)
+        if name not in found and hit is not None:
+            found[name] = hit
     return found
 
 
 def normalize_columns(df: DataFrame, aliases: Mapping[str, Sequence[str]] = OBSERVATION_ALIASES,
-                      keep: Sequence[str] = ()) -> DataFrame:
+                      keep: Sequence[str] = (), contains: Mapping[str, Sequence[str]] = OBSERVATION_CONTAINS) -> DataFrame:
     """One projection to the canonical names; columns without an alias are left out unless kept."""
-    found = resolve_aliases(df.columns, aliases)
+    found = resolve_aliases(df.columns, aliases, contains)
     return df.select(*keep, *[F.col(f"`{src}`").alias(name) for name, src in found.items()
                               if name not in keep])
 

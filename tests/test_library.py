@@ -75,15 +75,20 @@ def test_class_bins_are_right_closed(spark):
 # --- parsing and cleaning -----------------------------------------------------------------
 
 def test_mixed_dates(spark):
-    df = spark.createDataFrame([("2024-03-15",), ("16/03/2024",), ("5 Mar 2024",), ("garbage",), ("",), (None,)], "d string")
+    good = ["2024-03-05", "05/03/2024", "5 Mar 2024", "2024-03-05 00:00:00", "2024-03-05T23:59:59.123Z", "2024-3-5", "2024/03/05", "05-Mar-2024",
+            "5 March 2024", "Mar 5, 2024", "March 5 2024", "05/03/24", "5.3.2024", "20240305", " 5-3-2024 14:30 ", "2024-03-05T10:00:00+05:30", "5mar2024"]
+    bad = ["garbage", "", None, "2024-02-30", "31/04/2024", "2024-13-01", "5 Foo 2024", "2024", "12:30", "2024-03-05 25:00", "1/2/3/2024"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "d string")
     got = [r[0] for r in df.select(parse_dates(F.col("d"))).collect()]
-    assert got == [dt.date(2024, 3, 15), dt.date(2024, 3, 16), dt.date(2024, 3, 5), None, None, None]
+    assert got == [dt.date(2024, 3, 5)] * len(good) + [None] * len(bad)
+    assert spark.createDataFrame([("01/02/69",)], "d string").select(parse_dates(F.col("d"))).first()[0] == dt.date(1969, 2, 1)
 
 
 def test_number_sentinels(spark):
-    texts = ["2200", " -50 ", "1.5e3", "N/A", "nan", "inf", "-", "?", "", None, "12abc", "1d"]
+    texts = ["2200", " -50 ", "1.5e3", "N/A", "nan", "inf", "-", "?", "", None, "12abc", "1d", "1e100", "1.7e-120", "1e999", "0x1p3", ".5", "7."]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r[0] for r in df.select(parse_double(F.col("t"))).collect()] == [2200.0, -50.0, 1500.0] + [None] * 9
+    assert [r[0] for r in df.select(parse_double(F.col("t"))).collect()] == [
+        2200.0, -50.0, 1500.0, *[None] * 9, 1e100, 1.7e-120, None, None, 0.5, 7.0]
 
 
 def raw(spark, rows):
@@ -277,3 +282,16 @@ def test_calibrated_probabilities_sum_to_one(spark):
     for r in cal.collect():
         assert r["p_low"] + r["p_medium"] + r["p_high"] == pytest.approx(1.0)
     assert set(ece) == {"sigmoid", "isotonic"}
+
+
+def test_header_aliases():
+    from granary.schemas import OBSERVATION_ALIASES, OBSERVATION_CONTAINS
+    from granary.sources.tables import resolve_aliases
+    for columns, want in (
+            (["Mandi", "Crop Variety", "Report_Date", "ModalPrice", "Volume (t)", "created_date", "Min Price"],
+             {"market": "Mandi", "variety": "Crop Variety", "reported_date": "Report_Date", "modal_price": "ModalPrice", "arrivals": "Volume (t)", "min_price": "Min Price"}),
+            (["market_name", "commodity_variety", "arrival_date", "modal_price_rs_quintal", "arrival_quantity"],
+             {"market": "market_name", "variety": "commodity_variety", "reported_date": "arrival_date", "modal_price": "modal_price_rs_quintal", "arrivals": "arrival_quantity"}),
+            (["MARKET", "Commodity Variety", "Date", "Price per quintal", "Total Arrivals"],
+             {"market": "MARKET", "variety": "Commodity Variety", "reported_date": "Date", "modal_price": "Price per quintal", "arrivals": "Total Arrivals"})):
+        assert resolve_aliases(columns, OBSERVATION_ALIASES, OBSERVATION_CONTAINS) == want

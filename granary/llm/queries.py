@@ -142,7 +142,7 @@ weights AS MATERIALIZED (
   SELECT doc_id, term, ln(1 + (total - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)))::DOUBLE AS w
   FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM postings), stats),
 scores AS (
-  SELECT q.doc_id AS query_id, d.doc_id, round(sum(d.w), 9) AS score
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(d.w), 6) AS score
   FROM weights q JOIN weights d ON q.term = d.term AND q.doc_id <> d.doc_id WHERE q.doc_id % 50 = 0 GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10

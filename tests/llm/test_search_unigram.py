@@ -32,7 +32,7 @@ def brute(docs, asked, k):
     return {q: v for q, v in out.items() if v}
 
 
-def test_search_edges(spark, monkeypatch):
+def test_search_edges(spark):
     draw = random.Random(1)
     vocabulary = [f"w{int(draw.paretovariate(0.7))}" for _ in range(3000)]
     docs = [(i, " ".join(draw.choices(vocabulary, k=draw.choice([1, 3, 20, 80])))) for i in range(600)]
@@ -47,18 +47,25 @@ def test_search_edges(spark, monkeypatch):
     assert search.top_documents(empty, empty.selectExpr("doc_id query_id", "text")).count() == 0
 
 
-def test_pruning_skips_blocks_and_loses_nothing():
+def test_pruning_skips_blocks_and_loses_nothing(monkeypatch):
     import numpy as np
+    monkeypatch.setattr(search, "BLOCK", 8)
     draw = np.random.default_rng(2)
     docs = [draw.zipf(1.3, draw.integers(5, 200)) % 5000 for _ in range(2000)]
     found, freqs = zip(*(np.unique(d, return_counts=True) for d in docs))
     shard = search.Shard(list(range(2000)), list(found), list(freqs), 100.0)
-    for q in range(0, 2000, 100):
-        ids, scores = shard.search(q, found[q], np.ones(len(found[q])), 5)
-        full, all_scores = shard.search(q, found[q], np.ones(len(found[q])), 2000)
-        want = np.sort(all_scores)[::-1][:5]
-        assert np.array_equal(np.sort(scores)[::-1][:5], want)
-        assert len(ids) >= 5
+    asked = list(range(0, 2000, 100))
+    scored, real = [], shard._score
+    shard._score = lambda active, *rest: (scored.append(len(active)), real(active, *rest))
+    lists = {}
+    for k in (5, 2000):
+        lists[k] = search.Best(len(asked), k)
+        shard.search(np.array(asked), [found[q] for q in asked], [np.ones(len(found[q])) for q in asked], lists[k])
+        if k == 5:
+            assert sum(scored) < shard.blocks * len(asked)
+    for i, q in enumerate(asked):
+        order = np.lexsort((lists[2000].ids[i], -lists[2000].scores[i]))[:5]
+        assert lists[5].ids[i].tolist() == lists[2000].ids[i][order].tolist() and q not in lists[5].ids[i]
 
 
 def plain_count(word, scores, byte):

@@ -13,6 +13,7 @@ from granary.functions.distributed import first_by
 from granary.functions.scalars import finite, pct_change, positive, squash_space, zero_if_missing
 from granary.functions.windows import series_window
 from granary.schemas import OBS_KEY, SERIES
+from granary.session import materialize
 from granary.sources.tables import typed_observations
 
 
@@ -160,10 +161,12 @@ def map_names(df: DataFrame, spellings: DataFrame, col: str, out: str, known: st
     """Mapped name and whether it was found; unmapped names stay as trimmed text.
 
     The spelling table is keyed to one row per (commodity or any, spelling), so
-    the two joins never multiply rows. It is small and the optimizer broadcasts it.
+    the two joins never multiply rows. It is written first, so its size is known
+    when the joins are planned: broadcast below the session's threshold, and the
+    rows of the data are not shuffled by spelling.
     """
-    best = spellings.groupBy("commodity", "spelling").agg(
-        F.min(F.struct("rank", "pos", "name")).alias("b"))
+    best = materialize(spellings.groupBy("commodity", "spelling").agg(
+        F.min(F.struct("rank", "pos", "name")).alias("b")), "spellings")
     own = best.filter("commodity IS NOT NULL").select(
         F.col("commodity").alias("_c"), F.col("spelling").alias("_s1"), F.col("b").alias("_own"))
     other = best.filter("commodity IS NULL").select(F.col("spelling").alias("_s2"), F.col("b").alias("_any"))
@@ -192,12 +195,12 @@ def normalize_district(df: DataFrame, col: str = "district", aliases: Mapping[st
                        districts: Sequence[str] = N.DISTRICTS) -> DataFrame:
     """Blanks to Unknown, spellings to their canonical name, other names unchanged but trimmed."""
     table = {d.lower(): d for d in districts} | dict(aliases)
-    small = df.sparkSession.createDataFrame(list(table.items()), "_spelling string, _name string")
+    names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     text = F.trim(F.col(col).cast("string"))
+    name = F.try_element_at(names, F.regexp_replace(F.lower(text), "-", " "))
     out = (F.when(text.isNull() | F.lower(text).isin(*N.UNKNOWN_TEXT), "Unknown")
-           .otherwise(F.coalesce("_name", text)))
-    joined = df.join(small, F.regexp_replace(F.lower(text), "-", " ") == F.col("_spelling"), "left")
-    return joined.select(*[out.alias(c) if c == col else F.col(c) for c in df.columns])
+           .otherwise(F.coalesce(name, text)))
+    return df.select(*[out.alias(c) if c == col else F.col(c) for c in df.columns])
 
 
 def normalize_season(season: Column) -> Column:

@@ -20,6 +20,7 @@ from granary.functions.distributed import exact_quantiles
 from granary.functions.scalars import clip, pct_change, zero_if_missing
 from granary.functions.windows import days_around, full, past, running, series_window, trailing
 from granary.schemas import SERIES
+from granary.session import materialize
 
 PRICE = "modal_price"
 ARRIVALS = "arrivals"
@@ -283,11 +284,17 @@ def price_structure_abs() -> Columns:
 # --- imputation and encoding -------------------------------------------------
 
 def impute_lags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Carry forward inside a series, then the exact median of the carried column."""
+    """Carry forward inside a series, then the exact median of the carried column.
+
+    The carried columns are stacked as (name, value), so all medians come from one pass.
+    """
     w = running(series_window())
     filled = df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-    medians = {c: exact_quantiles(filled, c, {"m": 0.5}).scalar() for c in cols}
-    return filled.withColumns({c: F.coalesce(F.col(c), m) for c, m in medians.items()})
+    stacked = filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
+                                                for c in cols])).alias("s")).select("s.*")
+    medians = exact_quantiles(stacked, "value", {"m": 0.5}, ["name"]).agg(
+        F.map_from_entries(F.collect_list(F.struct("name", "m")))).scalar()
+    return filled.withColumns({c: F.coalesce(F.col(c), F.try_element_at(medians, F.lit(c))) for c in cols})
 
 
 def ordinal_codes(train: DataFrame, col: str) -> DataFrame:
@@ -297,16 +304,19 @@ def ordinal_codes(train: DataFrame, col: str) -> DataFrame:
 
 
 def ordinal_encode(df: DataFrame, train: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Codes fitted on train; values it lacks get -1."""
+    """Codes fitted on train; values it lacks get -1.
+
+    A dictionary is written before the join, which then knows its size and broadcasts a small one.
+    """
     for c in cols:
-        df = df.join(ordinal_codes(train, c), c, "left").withColumn(
+        df = df.join(materialize(ordinal_codes(train, c), "codes"), c, "left").withColumn(
             f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
     return df
 
 
 def target_encode(df: DataFrame, train: DataFrame, key: str, target: str, out: str) -> DataFrame:
     """Training mean of the target per key, the global training mean for new keys."""
-    means = train.groupBy(key).agg(F.avg(target).alias(out))
+    means = materialize(train.groupBy(key).agg(F.avg(target).alias(out)), "means")
     overall = train.agg(F.avg(target)).scalar()
     return df.join(means, key, "left").withColumn(out, F.coalesce(F.col(out), overall))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.schemas import OBS_KEY, SERIES
+from granary.session import materialize
 
 
 def holdout_feature_join(holdout: DataFrame, features: DataFrame, keys: Sequence[str] = OBS_KEY) -> DataFrame:
@@ -16,8 +17,8 @@ def holdout_feature_join(holdout: DataFrame, features: DataFrame, keys: Sequence
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join to a small table; the optimizer broadcasts it when its size allows."""
-    return df.join(lookup, list(keys), "left")
+    """Left join to a small table; it is written first, so its size is known and decides about the broadcast."""
+    return df.join(materialize(lookup, "lookup"), list(keys), "left")
 
 
 def outcome_match_join(forecasts: DataFrame, obs: DataFrame) -> DataFrame:

@@ -367,27 +367,92 @@ def normal_tail(z: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
 
 
-def paired_tests(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Paired t and Wilcoxon signed-rank statistics of a - b, with normal p-values.
+#: Degrees of freedom up to which Student's distribution is summed term by term; beyond, the normal distribution of
+#: a transformed statistic is right to more than 7 digits.
+T_TERMS = 2000
 
-    Zero differences are left out of the ranks; tied ones share their mean rank.
+
+def student_tail(t: Column, df: Column) -> Column:
+    """P(T > |t|) of Student's distribution with whole degrees of freedom; NULL below 1.
+
+    The distribution is a finite series in the cosine of atan(t / sqrt(df)), of other first terms for odd and
+    even df. One term follows from the one before.
+    """
+    x = F.abs(t)
+    df = F.when(df >= 1, df)
+    angle = F.atan2(x, F.sqrt(df.cast("double")))
+    cos2 = F.cos(angle) * F.cos(angle)
+    odd = df % 2 == 1
+    last = F.when(odd, (df - 3) / 2).otherwise((df - 2) / 2).cast("int")
+    ratio = lambda j: F.when(odd, 2 * j / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def step(state: Column, j: Column) -> Column:
+        term = state["term"] * ratio(j) * cos2
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
+    steps = F.when(last >= 1, F.sequence(F.lit(1), F.least(last, F.lit(T_TERMS)))).otherwise(F.array().cast("array<int>"))
+    series = F.aggregate(steps, start, step, lambda s: s["total"])
+    between = (F.when(df == 1, angle * 2 / math.pi)
+               .when(odd, (angle + F.sin(angle) * F.cos(angle) * series) * 2 / math.pi)
+               .otherwise(F.sin(angle) * series))
+    z = x * (1 - 1 / (4.0 * df)) / F.sqrt(1 + x * x / (2.0 * df))
+    return F.when(df > T_TERMS, normal_tail(z)).when(df >= 1, F.greatest((1 - between) / 2, F.lit(0.0)))
+
+
+#: Differences other than zero that the signed-rank test asks for.
+LEAST_NONZERO = 10
+
+
+def one_sided(p_upper: Column, statistic: Column, alternative: str) -> Column:
+    """p-value from the tail beyond |statistic|."""
+    if alternative == "two-sided":
+        return F.when(p_upper.isNotNull(), F.least(2 * p_upper, F.lit(1.0)))
+    if alternative not in ("greater", "less"):
+        raise ValueError(f"alternative must be two-sided, greater or less, not {alternative}")
+    toward = statistic >= 0 if alternative == "greater" else statistic <= 0
+    return F.when(toward, p_upper).otherwise(1 - p_upper)
+
+
+def paired_tests(df: DataFrame, a: str, b: str, alternative: str = "two-sided", zeros: str = "pratt",
+                 least_nonzero: int = LEAST_NONZERO) -> DataFrame:
+    """Paired t test (Student, n - 1 degrees) and Wilcoxon signed-rank test of a - b.
+
+    ``zeros``: "pratt" ranks zero differences too and leaves their ranks out of the sums, "wilcox" drops them first.
+    Tied differences share their mean rank; the signed-rank p-value is that of the normal approximation, and NULL
+    like its statistic below ``least_nonzero`` differences other than zero. ``alternative`` is about a - b; if all
+    differences are zero both p-values are 1 in a one-sided test.
     """
+    if zeros not in ("pratt", "wilcox"):
+        raise ValueError(f"zeros must be pratt or wilcox, not {zeros}")
     rows = df.select((F.col(a) - F.col(b)).alias("d")).filter("d IS NOT NULL")
-    t = row_scalar(rows.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd")))
-    nz = rows.filter("d <> 0").select(F.abs("d").alias("v"), F.when(F.col("d") > 0, 1).otherwise(0).alias("pos"))
-    run = running_by_value(nz, "v", {"n": F.lit(1), "pos": F.col("pos")})
+    t = row_scalar(rows.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"),
+                            F.count_if(F.col("d") == 0).alias("zeros")))
+    ranked = rows if zeros == "pratt" else rows.filter("d <> 0")
+    sizes = ranked.select(F.abs("d").alias("v"), F.when(F.col("d") > 0, 1).otherwise(0).alias("pos"))
+    run = running_by_value(sizes, "v", {"n": F.lit(1), "pos": F.col("pos")})
     rank = F.col("n_before") + (F.col("n") + 1) / 2
     n = F.col("n").cast("double")
-    w = run.agg(F.sum(F.col("pos") * rank).alias("w_plus"), F.sum((F.col("n") - F.col("pos")) * rank).alias("w_minus"),
-                F.sum(n * n * n - n).alias("ties"), F.sum(n).alias("m"))
-    m = F.col("m")
-    var = m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48
-    z = F.try_divide(F.col("w_plus") - m * (m + 1) / 4, F.sqrt(var))
+    other = F.col("v") != 0
+    w = run.agg(F.sum(F.when(other, F.col("pos") * rank)).alias("w_plus"),
+                F.sum(F.when(other, (F.col("n") - F.col("pos")) * rank)).alias("w_minus"),
+                F.sum(F.when(other, n * n * n - n)).alias("ties"), F.sum(n).alias("m"),
+                F.coalesce(F.sum(F.when(~other, n)), F.lit(0.0)).alias("m0"))
+    # higher-order functions take no subqueries, so the row of the t test becomes a column first
+    w = w.select("*", F.explode(F.array(t)).alias("t"))
+    t = F.col("t")
+    m, m0 = F.col("m"), F.col("m0")
+    mean = (m * (m + 1) - m0 * (m0 + 1)) / 4
+    var = (m * (m + 1) * (2 * m + 1) - m0 * (m0 + 1) * (2 * m0 + 1)) / 24 - F.col("ties") / 48
+    enough = t["n"] - t["zeros"] >= least_nonzero
+    z = F.when(enough, F.try_divide(F.col("w_plus") - mean, F.sqrt(var)))
     t_stat = F.try_divide(t["mean"], F.try_divide(t["sd"], F.sqrt(t["n"])))
+    same = F.lit(alternative != "two-sided") & (t["n"] == t["zeros"])
+    t_p = F.when(same, 1.0).otherwise(one_sided(student_tail(t_stat, t["n"] - 1), t_stat, alternative))
+    w_p = F.when(same, 1.0).otherwise(one_sided(normal_tail(z), z, alternative))
     return w.select(t["n"].alias("n"), t["mean"].alias("mean_difference"), t_stat.alias("t_statistic"),
-                    (2 * normal_tail(t_stat)).alias("t_p_value"), "w_plus", "w_minus",
-                    F.least("w_plus", "w_minus").alias("wilcoxon_statistic"), z.alias("wilcoxon_z"),
-                    (2 * normal_tail(z)).alias("wilcoxon_p_value"))
+                    t_p.alias("t_p_value"), "w_plus", "w_minus",
+                    F.when(enough, F.least("w_plus", "w_minus")).alias("wilcoxon_statistic"), z.alias("wilcoxon_z"),
+                    w_p.alias("wilcoxon_p_value"))
 
 
 def mcnemar(df: DataFrame, y: str, a: str, b: str) -> DataFrame:

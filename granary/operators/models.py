@@ -130,8 +130,9 @@ def fit_price_change_trees(train: DataFrame, label: str, kind: str = "gbt", feat
 def fit_volatility_classifier(train: DataFrame, label: str, features: str = "features", strategy: str = "balanced",
                               trees: int = 20, depth: int = 5):
     """Three-class random forest with class weights computed on the training rows."""
-    weights = class_weights(train, label, strategy).select(label, "weight")
-    rows = train.join(weights, label).withColumn("_y", class_code(F.col(label)).cast("double"))
+    weights = class_weights(train, label, strategy).agg(F.map_from_entries(F.collect_list(F.struct(label, "weight")))).scalar()
+    rows = (train.filter(F.col(label).isNotNull()).withColumn("weight", F.try_element_at(weights, F.col(label)))
+            .withColumn("_y", class_code(F.col(label)).cast("double")))
     return RandomForestClassifier(featuresCol=features, labelCol="_y", weightCol="weight", numTrees=trees,
                                   maxDepth=depth, seed=SEED).fit(rows)
 
@@ -213,7 +214,7 @@ def ensemble_average(a: Column, b: Column, weight: float = 0.5) -> Column:
 
 def impute_yield_baseline(df: DataFrame, train: DataFrame, target: str = "yield_kg_ha", hist: str | None = None) -> DataFrame:
     """First positive of lag 1, lag 2, supplied mean, district x season, district, season, state mean."""
-    levels = hierarchical_means(train, target)
+    levels = materialize(hierarchical_means(train, target), "levels")
     pick = lambda level, name, *keys: levels.filter(F.col("level") == level).select(*keys, F.col("mean").alias(name))
     j = (df.join(pick("district_season", "_ds", "district", "season"), ["district", "season"], "left")
          .join(pick("district", "_d", "district"), "district", "left")

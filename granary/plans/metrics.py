@@ -405,17 +405,26 @@ def tail_sql(z):
 @query("i18_paired_tests", f"""
 WITH {SCORED},
 d AS (SELECT abs(y - current) - abs(y - model) AS d FROM s),
-t AS (SELECT count(*) AS n, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS ts FROM d),
-k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY abs(d)) AS c FROM d WHERE d <> 0),
-w AS (SELECT sum(r) FILTER (d > 0) AS w_plus, sum(r) FILTER (d < 0) AS w_minus, sum(c::DOUBLE * c - 1) AS ties, count(*)::DOUBLE AS m FROM k),
-z AS (SELECT *, (w_plus - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48) AS z FROM w)
-SELECT n, w_plus, w_minus, least(w_plus, w_minus) AS wilcoxon_statistic,
+t AS (SELECT count(*) AS n, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS ts, count(*) - 1.0::DOUBLE AS f,
+    count(*) FILTER (d <> 0) AS other FROM d),
+o AS (SELECT *, atan2(abs(ts), sqrt(f)) AS a, power(cos(atan2(abs(ts), sqrt(f))), 2) AS c FROM t),
+p AS (SELECT *, CASE WHEN f > 2000 THEN 2 * {tail_sql('(ts * (1 - 1 / (4 * f)) / sqrt(1 + ts * ts / (2 * f)))')}
+    WHEN f % 2 = 1 THEN 1 - 2 / pi() * (a + sin(a) * cos(a) * (
+      SELECT coalesce(sum(exp(lgamma(j + 1) - lgamma(j + 1.5::DOUBLE)) * sqrt(pi()) / 2 * power(c, j)), 0) FROM range(1000) r(j) WHERE j <= (f - 3) / 2))
+    ELSE 1 - sin(a) * (SELECT sum(exp(lgamma(j + 0.5::DOUBLE) - lgamma(j + 1)) / sqrt(pi()) * power(c, j)) FROM range(1001) r(j) WHERE j <= (f - 2) / 2)
+    END AS tp FROM o),
+k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY abs(d)) AS c FROM d),
+w AS (SELECT sum(r) FILTER (d > 0) AS w_plus, sum(r) FILTER (d < 0) AS w_minus, sum(c::DOUBLE * c - 1) FILTER (d <> 0) AS ties,
+    count(*)::DOUBLE AS m, count(*) FILTER (d = 0)::DOUBLE AS m0 FROM k),
+z AS (SELECT *, (w_plus - (m * (m + 1) - m0 * (m0 + 1)) / 4)
+    / sqrt((m * (m + 1) * (2 * m + 1) - m0 * (m0 + 1) * (2 * m0 + 1)) / 24 - ties / 48) AS z FROM w)
+SELECT n, w_plus, w_minus, CASE WHEN other >= 10 THEN least(w_plus, w_minus) END AS wilcoxon_statistic,
   ~mean AS mean_difference,
   ~ts AS t_statistic,
-  ~2 * {tail_sql('ts')} AS t_p_value,
-  ~z AS wilcoxon_z,
-  ~2 * {tail_sql('z')} AS wilcoxon_p_value
-FROM t CROSS JOIN z""")
+  ~tp AS t_p_value,
+  ~CASE WHEN other >= 10 THEN z END AS wilcoxon_z,
+  ~CASE WHEN other >= 10 THEN 2 * {tail_sql('z')} END AS wilcoxon_p_value
+FROM p CROSS JOIN z""")
 def i18(spark, folder):
     df = scored(spark, folder).select(F.abs(F.col("y") - F.col("current")).alias("a"),
                                       F.abs(F.col("y") - F.col("model")).alias("b"))

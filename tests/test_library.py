@@ -54,10 +54,30 @@ def test_first_by_is_limited_before_the_shuffle(spark):
 def test_wilcoxon_and_t_statistics(spark):
     a = [1.0, 2.0, 3.0, 5.0, 5.0, 9.0]
     b = [2.0, 2.0, 1.0, 1.0, 4.0, 5.0]
-    r = M.paired_tests(spark.createDataFrame(list(zip(a, b)), "a double, b double"), "a", "b").first()
+    frame = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    r = M.paired_tests(frame, "a", "b", zeros="wilcox", least_nonzero=1).first()
     d = np.array(a) - np.array(b)
     assert r["t_statistic"] == pytest.approx(d.mean() / (d.std(ddof=1) / np.sqrt(6)))
     assert (r["w_plus"], r["w_minus"]) == (13.5, 1.5)
+    pratt = M.paired_tests(frame, "a", "b", least_nonzero=1).first()
+    assert (pratt["w_plus"], pratt["w_minus"]) == (17.5, 2.5)  # the zero takes rank 1
+    few = M.paired_tests(frame, "a", "b").first()
+    assert few["wilcoxon_p_value"] is None and few["wilcoxon_statistic"] is None and few["t_p_value"] == r["t_p_value"]
+    up, down = (M.paired_tests(frame, "a", "b", alternative=x, least_nonzero=1).first() for x in ("greater", "less"))
+    assert up["t_p_value"] == pytest.approx(r["t_p_value"] / 2) and down["t_p_value"] == pytest.approx(1 - r["t_p_value"] / 2)
+    assert up["wilcoxon_p_value"] + down["wilcoxon_p_value"] == pytest.approx(1)
+    same = M.paired_tests(frame.selectExpr("a", "a AS b"), "a", "b", alternative="greater").first()
+    assert (same["t_p_value"], same["wilcoxon_p_value"]) == (1.0, 1.0)
+
+
+def test_student_tail(spark):
+    # two-sided critical values of the published table
+    table = [(12.7062047, 1, 0.05), (4.3026527, 2, 0.05), (3.1824463, 3, 0.05), (2.0638986, 24, 0.05), (2.7969395, 24, 0.01),
+             (2.0595386, 25, 0.05), (1.9839715, 100, 0.05), (1.9623391, 1000, 0.05), (1.9611508, 2000, 0.05), (1.9611502, 2001, 0.05), (0.0, 7, 1.0)]
+    df = spark.createDataFrame(table, "t double, f long, p double")
+    for r in df.select("p", (2 * M.student_tail(F.col("t"), F.col("f"))).alias("got")).collect():
+        assert r["got"] == pytest.approx(r["p"], abs=1e-6)
+    assert spark.range(1).select(M.student_tail(F.lit(1.0), F.lit(0))).first()[0] is None
 
 
 def test_precision_recall_with_ties(spark):

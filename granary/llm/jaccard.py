@@ -189,69 +189,84 @@ def _enough_shared(pairs: DataFrame, p: int, q: int) -> DataFrame:
             numbers = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "shared")), strict=True)
             good = pa.array([shared >= _least_shared(x, y, p, q) for x, y, shared in numbers], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
-    return in_arrow(pairs, stage, "a binary, b binary")
+    return in_arrow(pairs, stage, "a bigint, b bigint")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """Those of the written pairs (a, b) of classes that link, compared by their whole sets."""
-    wanted = saved(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
-    # written, so that its size is known when the join with the texts is planned
-    ids = saved(classes.join(wanted, "class").select(F.col("doc_id").alias("_id")).distinct(), "ids")
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    full = saved(_features(texts, width).join(wanted, "class", "left_semi"), "features")
-    x, y = (full.select(F.col("class").alias(c), F.col("features").alias(f"{c}_set")) for c in "ab")
+    """Those of the written pairs (a, b) of class numbers that link, compared by their whole sets."""
+    wanted = classes.join(pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct(), "number")
+    # written, so that its size is known when the joins with texts and sets are planned
+    wanted = saved(wanted.select("number", "class", F.col("doc_id").alias("_id")), "wanted")
+    texts = docs.join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    full = saved(_features(texts, width).join(wanted.select("class", "number"), "class").select("number", "features"), "features")
+    x, y = (full.select(F.col("number").alias(c), F.col("features").alias(f"{c}_set")) for c in "ab")
     common = F.size(F.array_intersect("a_set", "b_set"))
     both = pairs.join(x, "a").join(y, "b")
     return both.where(common * q >= (F.size("a_set") + F.size("b_set") - common) * p).select("a", "b").distinct()
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(class, number, doc_id, size, parity) of the sets that are not empty.
+
+    A class has the number of its smallest row; where rows of different texts share an id, that of its hash.
+    """
+    classes = rows.where("size > 0").groupBy("class").agg(
+        F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("parity").alias("parity"))
+    alone = F.count("*").over(Window.partitionBy("row")) == 1
+    return classes.select("class", F.when(alone, F.col("row")).otherwise(_negative(F.xxhash64("class"))).alias("number"),
+                          "doc_id", "size", "parity")
+
+
+def _negative(x: Column) -> Column:
+    return x.bitwiseOR(F.lit(-(1 << 63)))
+
+
 def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of documents; links are similarities of at least p / q.
 
     ``docs`` has doc_id (long) and text. component_id is the smallest doc_id reachable by links.
     """
     docs = docs.select("doc_id", "text")
-    rows = saved(sets(docs, width, p, q), "sets")
-    classes = rows.where("size > 0").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("parity").alias("parity"))
-    classes = saved(classes, "classes")
+    rows = saved(sets(docs, width, p, q).withColumn("row", F.coalesce("doc_id", _negative(F.xxhash64("class")))), "sets")
+    classes = saved(_numbered(rows), "classes")
 
     by_sign = Window.partitionBy("sign").orderBy("row")
-    signed = rows.select(F.explode("signs").alias("sign"), F.coalesce("doc_id", -F.abs(F.xxhash64("class"))).alias("row"))
+    signed = rows.select(F.explode("signs").alias("sign"), "row")
     shared = signed.select("sign", "row", F.lag("row").over(by_sign).alias("before"),
                            F.lead("row").over(by_sign).alias("after")).where("before IS NOT NULL OR after IS NOT NULL")
-    named = rows.where("size > 0").select(
-        F.coalesce("doc_id", -F.abs(F.xxhash64("class"))).alias("row"), "class").distinct()
-    shared = shared.select("sign", "row").join(named, "row").select("sign", "class").distinct()
-    leaders = shared.groupBy("sign").agg(F.min("class").alias("leader"), F.max("class").alias("top")).where("leader <> top")
-    buckets = saved(shared.join(leaders.drop("top"), "sign"), "buckets")
-
-    about = lambda c: classes.select(F.col("class").alias(c), "size", "parity").alias(f"c{c}")
+    named = rows.where("size > 0").select("row", "class").distinct().join(classes.select("class", "number"), "class").select("row", "number")
+    # one exchange by signature serves the distinct rows and the window
+    whole = Window.partitionBy("sign")
+    shared = shared.select("sign", "row").join(named, "row").select("sign", "number").repartition("sign").distinct()
+    buckets = saved(shared.select("sign", "number", F.min("number").over(whole).alias("leader"), F.max("number").over(whole).alias("top"))
+                    .where("leader <> top").drop("top"), "buckets")
+
+    about = lambda c: classes.select(F.col("number").alias(c), "size", "parity").alias(f"c{c}")
     # one comparison per class at first: with the leader it shares most signatures with
-    first = buckets.where("class <> leader").groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).count()
-    first = first.join(about("a"), "a").join(about("b"), "b").where(_may_link("ca", "cb", p, q))
-    first = saved(first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "pairs")
+    first = buckets.where("number <> leader").groupBy(F.col("leader").alias("a"), F.col("number").alias("b")).count()
+    first = first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    first = saved(first.join(about("a"), "a").join(about("b"), "b").where(_may_link("ca", "cb", p, q)).select("a", "b"), "pairs")
     links = saved(_linked(first, docs, classes, width, p, q), "links")
     roots = components(links)
 
-    rooted = buckets.join(roots, F.col("class") == F.col("node"), "left").select(
-        "sign", "class", F.coalesce("root", "class").alias("root"))
-    mixed = rooted.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_rows = rooted.join(mixed, "sign", "left_semi").join(classes.select("class", "size", "parity"), "class")
-    open_rows = saved(open_rows, "open")
+    rooted = buckets.join(roots, F.col("number") == F.col("node"), "left").select(
+        "sign", "number", F.coalesce("root", "number").alias("root")).repartition("sign")
+    mixed = rooted.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high")).where("low <> high")
+    open_rows = saved(mixed.select("sign", "number", "root").join(classes.select("number", "size", "parity"), "number"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    second = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.class") < F.col("y.class"))
+    second = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.number") < F.col("y.number"))
                     & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", p, q)).select(
-        F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.size").alias("x"), F.col("y.size").alias("y"))
+        F.col("x.number").alias("a"), F.col("y.number").alias("b"), F.col("x.size").alias("x"), F.col("y.size").alias("y"))
     second = _enough_shared(second.groupBy("a", "b", "x", "y").agg(F.count("*").alias("shared")), p, q)
-    second = saved(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = saved(second.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = saved(_linked(second, docs, classes, width, p, q), "links")
         if not more.isEmpty():
             roots = components(links.union(more))
 
-    ids = classes.select("class", "doc_id").join(roots, F.col("class") == F.col("node"), "left").select(
-        "class", "doc_id", F.coalesce("root", "class").alias("root"))
+    ids = classes.select("class", "number", "doc_id").join(roots, F.col("number") == F.col("node"), "left").select(
+        "class", "doc_id", F.coalesce("root", "number").alias("root"))
     lowest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = ids.join(lowest, "root").select("class", "component_id")
     return rows.select("doc_id", F.col("size").alias("n_shingles"), "class").join(ids, "class", "left").select(

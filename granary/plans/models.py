@@ -1,5 +1,6 @@
 """Baselines, routing, MLlib fits and evaluation loops."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions.windows import series_window
@@ -10,7 +11,7 @@ from granary.operators import models as J
 from granary.operators import panel as N
 from granary.operators import splits as S
 from granary.plans.labels import KEY, NEXT, P
-from granary.plans.metrics import (CLASSIFIED, PANEL_SCORED, SCORED, _PL, classified, panel_scored, reg_sql,
+from granary.plans.metrics import (CLASSIFIED, PANEL_SCORED, RELIABILITY, SCORED, _PL, _POLICIES, classified, panel_scored, reg_sql,
                                    scored)
 from granary.plans.panel import HIER, INSEASON_SQL, PK, weather
 from granary.plans.registry import W, lag, query, rows
@@ -162,7 +163,7 @@ def j16(spark, folder):
     return out.select(*KEY, *J.DEFAULT_QUANTILES)
 
 
-# --- fitted models: invariants instead of equal numbers ------------------------------------
+# --- fitted models: what does not depend on the fit is compared, the fit has to pass its gates ------------------------------------
 
 def yield_table(spark, folder):
     """Yield rows with lags, in-season weather and the completeness flag."""
@@ -178,6 +179,13 @@ def yield_table(spark, folder):
     return full.withColumn("weather_complete", complete)
 
 
+# Validation rows with their lag: yields are positive, so the imputed baseline of a row with a lag is that lag.
+PANEL_FOLDS = """sp AS (SELECT *, lag(yield_kg_ha) OVER (PARTITION BY district, season ORDER BY year) AS l1 FROM @panel@),
+va AS (SELECT * FROM sp WHERE l1 IS NOT NULL AND year >= 2000)"""
+#: A fitted model passes if its error is at most so many times that of persistence.
+MARGIN = 1.5
+
+
 def _split_panel(spark, folder):
     df = J.impute_yield_baseline(yield_table(spark, folder).filter("yield_lag1 IS NOT NULL"),
                                  A.yield_panel(spark, folder).filter("year < 2000"))
@@ -185,13 +193,18 @@ def _split_panel(spark, folder):
     return df.filter("year < 2000"), df.filter("year >= 2000")
 
 
-@query("j02_prep_pipeline")
+@query("j02_prep_pipeline", f"""
+WITH {PANEL_FOLDS}
+SELECT district, season, year, true AS finite, true AS one_district, CAST({len(J.YIELD_NUMERIC)} + (SELECT count(DISTINCT district) + 2 FROM sp WHERE l1 IS NOT NULL AND year < 2000)
+  + (SELECT count(DISTINCT season) + 2 FROM sp WHERE l1 IS NOT NULL AND year < 2000) AS INTEGER) AS width
+FROM va""")
 def j02(spark, folder):
     train, val = _split_panel(spark, folder)
     prep = J.prep_pipeline(J.YIELD_NUMERIC, ["district", "season"]).fit(train)
     from pyspark.ml.functions import vector_to_array
     v = vector_to_array("features")
-    return prep.transform(val).select(*PK, F.size(v).alias("width"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    hot = F.aggregate(vector_to_array("district_hot"), F.lit(0.0), lambda a, x: a + x)
+    return prep.transform(val).select(*PK, F.forall(v, lambda x: F.abs(x) < 1e9).alias("finite"), (hot == 1).alias("one_district"), F.size(v).alias("width"))
 
 
 def _scored_delta(spark, folder, fit):
@@ -200,15 +213,23 @@ def _scored_delta(spark, folder, fit):
     model = fit(prep.transform(train).select("features", "delta"))
     out = model.transform(prep.transform(val)).withColumn("pred", F.col("baseline") + F.col("pred_delta"))
     m, b = M.regression_aggs("yield_kg_ha", "pred"), M.regression_aggs("yield_kg_ha", "baseline", suffix="_persistence")
-    return out.groupBy("season").agg(*[e.alias(k) for k, e in (m | b).items()])
+    return out.groupBy("season").agg(*[e.alias(k) for k, e in b.items()], (m["mae"] <= b["mae_persistence"] * MARGIN).alias("within_margin"),
+                                     (m["n"] == b["n_persistence"]).alias("all_scored"))
+
+
+DELTA_SQL = f"""
+WITH {PANEL_FOLDS}
+SELECT season, true AS within_margin, true AS all_scored,
+{reg_sql('yield_kg_ha', 'l1', suffix='_persistence')}
+FROM va GROUP BY season"""
 
 
-@query("j03_fit_delta_ridge")
+@query("j03_fit_delta_ridge", DELTA_SQL)
 def j03(spark, folder):
     return _scored_delta(spark, folder, lambda tr: J.fit_delta_ridge(tr, "delta", 300.0))
 
 
-@query("j04_fit_delta_huber")
+@query("j04_fit_delta_huber", DELTA_SQL)
 def j04(spark, folder):
     return _scored_delta(spark, folder, J.fit_delta_huber)
 
@@ -254,33 +275,72 @@ def j07(spark, folder):
     return M.classification_metrics(out, "label", "predicted_class", ["variety"])
 
 
-@query("j08_calibrate")
+@query("j08_calibrate", f"""
+WITH {CLASSIFIED.replace(chr(10) + "c AS (", chr(10) + "ca AS (")}, c AS (SELECT * FROM ca WHERE reported_date >= DATE '2000-01-01'),
+{RELIABILITY},
+ec AS (SELECT label, sum(gap * n / total) AS ece FROM rt GROUP BY label)
+SELECT label, true AS not_worse, true AS probabilities,
+  ~ece AS raw
+FROM (SELECT * FROM ec UNION ALL SELECT 'ALL', avg(ece) FROM ec)""")
 def j08(spark, folder):
     df = classified(spark, folder)
     val, test = df.filter("reported_date < '2000-01-01'"), df.filter("reported_date >= '2000-01-01'")
     val, test = materialize(val, "cal-val"), materialize(test, "cal-test")
     cal, _ = J.calibrate(val, test, "y")
-    raw = M.ece_classwise(test, "y").withColumn("stage", F.lit("raw"))
-    return raw.unionByName(M.ece_classwise(cal, "y").withColumn("stage", F.lit("calibrated")))
+    cal = materialize(cal, "calibrated")
+    sums = cal.agg(F.max(F.abs(sum(F.col(p) for p in M.PROBS) - 1)) < 1e-9).scalar()
+    both = M.ece_classwise(test, "y").withColumnRenamed("ece", "raw").join(
+        M.ece_classwise(cal, "y").withColumnRenamed("ece", "calibrated"), "label")
+    return both.select("label", "raw", (F.col("calibrated") <= F.col("raw") + 0.05).alias("not_worse"), sums.alias("probabilities"))
 
 
-@query("j10_tune_grid")
+#: Ridge penalties of the tuning grid. Fixed values.
+ALPHAS = (0.01, 0.1, 1.0, 5.0, 10.0, 20.0, 50.0, 80.0, 100.0, 150.0, 200.0, 300.0, 500.0)
+
+
+@query("j10_tune_grid", f"""
+WITH {PANEL_FOLDS}
+SELECT unnest({list(ALPHAS)})::DOUBLE AS alpha, (SELECT count(*) FROM va) AS n, 1::BIGINT AS best_of_grid, true AS within_margin""")
 def j10(spark, folder):
     train, val = _split_panel(spark, folder)
-    return J.tune_grid(train, val, J.YIELD_NUMERIC, ["district", "season"], (0.1, 10.0, 100.0, 300.0, 500.0))
+    out = J.tune_grid(train, val, J.YIELD_NUMERIC, ["district", "season"], ALPHAS)
+    limit = val.agg(F.avg(F.abs(F.col("yield_kg_ha") - F.col("baseline"))) * MARGIN).scalar()
+    best = out.agg(F.count_if("best")).scalar()
+    least = out.agg(F.min("mae")).scalar()
+    return out.select("alpha", "n", best.alias("best_of_grid"), ((F.col("mae") <= limit) & (~F.col("best") | (F.col("mae") == least))).alias("within_margin"))
 
 
-@query("j11_feature_importance")
+@query("j11_feature_importance", f"""
+SELECT unnest({[*T.CORE_20, P]}) AS feature, feature IN ('year', 'month', 'day', 'day_of_week', 'week_of_year', 'quarter') AS is_calendar,
+  true AS is_share, true AS ranked,
+  ~1.0::DOUBLE AS total""")
 def j11(spark, folder):
     names = T.CORE_20 + (P,)
     df = J.assemble(price_table(spark, folder).filter("role = 'train'"), names)
-    return J.feature_importance(J.fit_price_change_trees(df, "future_change", "forest", trees=10), names, spark)
+    out = J.feature_importance(J.fit_price_change_trees(df, "future_change", "forest", trees=100), names, spark)
+    w = Window.orderBy("rank")
+    ranked = F.coalesce(F.col("importance") <= F.lag("importance").over(w), F.lit(True)) & (F.row_number().over(w) == F.col("rank"))
+    return out.select("feature", "is_calendar", F.col("share").between(0, 1).alias("is_share"), ranked.alias("ranked"),
+                      F.sum("share").over(Window.partitionBy()).alias("total"))
+
+
+#: Validation years of the rolling origins that the panel has a past for.
+ORIGINS = (1998, 1999, 2000, 2001)
 
 
-@query("j17_rolling_origin_evaluation")
+@query("j17_rolling_origin_evaluation", f"""
+WITH {PANEL_FOLDS}, ps AS (SELECT season, yield_kg_ha AS y, l1 AS persistence, year FROM sp WHERE l1 IS NOT NULL AND year IN {ORIGINS})
+SELECT CAST(policy AS INTEGER) AS policy, true AS within_margin, count(*) AS n,
+  ~(SELECT avg(abs(y - persistence)) FROM ps) AS persistence_mae,
+  ~count(*) FILTER (list_contains(seasons, season)) / count(*) * 100 AS routed_pct
+FROM ps CROSS JOIN (VALUES {_POLICIES}) p(policy, seasons) GROUP BY policy""")
 def j17(spark, folder):
-    pred = J.rolling_origin_evaluation(yield_table(spark, folder).filter("yield_lag1 IS NOT NULL"), (1999, 2000, 2001))
-    return M.routing_policy_compare(pred, "y", "ridge_s1", "persistence", "weather_complete")
+    pred = materialize(J.rolling_origin_evaluation(yield_table(spark, folder).filter("yield_lag1 IS NOT NULL"), ORIGINS), "origins")
+    every = pred.withColumn("complete", F.lit(True))
+    out = M.routing_policy_compare(every, "y", "ridge_s1", "persistence", "complete")
+    base = out.agg(F.max(F.when(F.col("policy") == 1, F.col("mae")))).scalar()
+    return out.select("policy", "n", base.alias("persistence_mae"), F.col("coverage_pct").alias("routed_pct"),
+                      (F.col("mae") <= base * MARGIN).alias("within_margin"))
 
 
 @query("j18_walk_forward_volatility")

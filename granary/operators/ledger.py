@@ -246,7 +246,7 @@ def offset_distribution(ledger: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
-def volatility_shadow_metrics(ledger: DataFrame, reps: int = 500, min_obs: int = 20) -> DataFrame:
+def volatility_shadow_metrics(ledger: DataFrame, reps: int = M.DELTA_REPLICATES, min_obs: int = 20) -> DataFrame:
     """One row: classification of both, Brier, calibration, market comparison and the promotion verdict."""
     ev = ledger.filter("status = 'EVALUATED'")
     counts = M.confusion_counts("actual_class", "predicted_class", "_ml") | M.confusion_counts(

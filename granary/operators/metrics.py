@@ -312,6 +312,10 @@ def tier_summary(markets: DataFrame) -> DataFrame:
         (F.try_divide(F.count_if(F.col("outcome") == "win"), F.count("*")) * 100).alias("win_rate_pct"))
 
 
+#: Replicates of the bootstrap of errors and of that of differences per cluster.
+ERROR_REPLICATES, DELTA_REPLICATES = 10_000, 2_000
+
+
 def bootstrap_replicates(clusters: DataFrame, order: str, sums: Sequence[str], reps: int, seed: str = "42") -> DataFrame:
     """Per replicate the sums over as many clusters as there are, drawn with replacement.
 
@@ -327,7 +331,7 @@ def bootstrap_replicates(clusters: DataFrame, order: str, sums: Sequence[str], r
     return picked.join(numbered, "idx").groupBy("rep").agg(*[F.sum(s).alias(s) for s in sums])
 
 
-def clustered_bootstrap(df: DataFrame, cluster: str, base_error: str, model_error: str, reps: int = 1000,
+def clustered_bootstrap(df: DataFrame, cluster: str, base_error: str, model_error: str, reps: int = ERROR_REPLICATES,
                         seed: str = "42") -> DataFrame:
     """Improvement in mean error with its 95 % interval from resampled clusters."""
     sums = df.groupBy(cluster).agg(F.sum(base_error).alias("b"), F.sum(model_error).alias("m"),
@@ -341,7 +345,7 @@ def clustered_bootstrap(df: DataFrame, cluster: str, base_error: str, model_erro
                    F.count("*").alias("replicates")).select(observed.alias("observed"), "*")
 
 
-def mean_delta_bootstrap(df: DataFrame, cluster: str, delta: str, reps: int = 1000, seed: str = "42") -> DataFrame:
+def mean_delta_bootstrap(df: DataFrame, cluster: str, delta: str, reps: int = DELTA_REPLICATES, seed: str = "42") -> DataFrame:
     """Mean of per-cluster differences with its 95 % interval and two-sided p-value."""
     rows = df.select(cluster, F.col(delta).alias("s"), F.lit(1.0).alias("n"))
     rep = bootstrap_replicates(rows, cluster, ["s", "n"], reps, seed).select((F.col("s") / F.col("n")).alias("d"))

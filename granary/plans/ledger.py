@@ -282,7 +282,7 @@ lg AS ({_LG}),
 ec AS (SELECT label, sum(abs(ob - mp) * n) / sum(n) AS e FROM (SELECT label, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(hit) AS ob FROM lg GROUP BY ALL) GROUP BY label),
 {_MARKETS.replace('ml.n >= 20', 'ml.n >= 10')},
 cl AS (SELECT market AS k, delta_macro_f1 AS s, 1.0::DOUBLE AS n FROM mt),
-{boot_sql('cl', ('s', 'n'), 500)},
+{boot_sql('cl', ('s', 'n'), M.DELTA_REPLICATES)},
 bt AS (SELECT (SELECT avg(s) FROM cl) AS mean_delta, quantile_cont(s / n, 0.025) AS ci_low, quantile_cont(s / n, 0.975) AS ci_high FROM rp),
 z AS (SELECT (SELECT count(*) FROM c) AS forecasts, (SELECT CAST(max(window_end) - min(origin_date) AS INTEGER) FROM c) AS days, (SELECT count(DISTINCT market) FROM c) AS markets,
     pm.accuracy, pm.macro_f1, pb.accuracy AS persistence_accuracy, pb.macro_f1 AS persistence_macro_f1, pm.high_recall,
@@ -306,7 +306,7 @@ SELECT forecasts, days, markets, days_ok, forecasts_ok, markets_ok, ece_ok, win_
 FROM g""")
 def k08(spark, folder):
     # several reports read the evaluated ledger
-    return K.volatility_shadow_metrics(materialize(vol_resolved(spark, folder), "volatility-ledger"), 500, 10)
+    return K.volatility_shadow_metrics(materialize(vol_resolved(spark, folder), "volatility-ledger"), min_obs=10)
 
 
 @query("k09_freshness", """

@@ -364,7 +364,7 @@ rp AS (SELECT rep, {', '.join(f'sum({s}) AS {s}' for s in sums)} FROM dr JOIN nb
 @query("i17_clustered_bootstrap", f"""
 WITH {SCORED},
 cl AS (SELECT market AS k, sum(abs(y - current)) AS b, sum(abs(y - model)) AS m, count(*)::DOUBLE AS n FROM s GROUP BY market),
-{boot_sql('cl', ('b', 'm', 'n'), 1000)}
+{boot_sql('cl', ('b', 'm', 'n'), M.ERROR_REPLICATES)}
 SELECT count(*) AS replicates,
   ~(SELECT (sum(b) - sum(m)) / sum(n) FROM cl) AS observed,
   ~quantile_cont((b - m) / n, 0.025) AS ci_low,
@@ -373,14 +373,14 @@ SELECT count(*) AS replicates,
 FROM rp""")
 def i17(spark, folder):
     df = scored(spark, folder).withColumns({"eb": F.abs(F.col("y") - F.col("current")), "em": F.abs(F.col("y") - F.col("model"))})
-    return M.clustered_bootstrap(df, "market", "eb", "em", 1000)
+    return M.clustered_bootstrap(df, "market", "eb", "em")
 
 
 @query("i17_mean_delta_bootstrap", f"""
 WITH {CLASSIFIED},
 {MARKETS},
 cl AS (SELECT market AS k, floor(delta_macro_f1 * 65536) / 65536 AS s, 1.0::DOUBLE AS n FROM mt),
-{boot_sql('cl', ('s', 'n'), 500)},
+{boot_sql('cl', ('s', 'n'), M.DELTA_REPLICATES)},
 a AS (SELECT avg(s) AS mean FROM cl)
 SELECT
   ~any_value(mean) AS mean_delta,
@@ -391,7 +391,7 @@ FROM rp CROSS JOIN a""")
 def i17m(spark, folder):
     markets = M.market_level_comparison(classified(spark, folder), "y", "pred", "base")
     steps = markets.withColumn("delta", F.floor(F.col("delta_macro_f1") * 65536) / 65536)
-    return M.mean_delta_bootstrap(steps, "market", "delta", 500)
+    return M.mean_delta_bootstrap(steps, "market", "delta")
 
 
 def tail_sql(z):

@@ -372,10 +372,10 @@ def b18(spark, folder):
 
 
 @query("b19_harmonize_crop_units", """
-WITH y AS (SELECT district, year, yield_kg_ha / 30000 AS yield_raw, production FROM @panel@),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY district, year ORDER BY yield_raw, production) AS rn FROM y)
+WITH y AS (SELECT district, season, year, yield_kg_ha / 30000 AS yield_raw, production FROM @panel@),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY district, season, year ORDER BY yield_raw, production) AS rn FROM y)
       WHERE rn = 1)
-SELECT district, year,
+SELECT district, season, year,
   ~yield_raw AS yield_raw,
   ~production AS production,
   ~yield_raw * CASE WHEN yield_raw < 10 THEN 1000 ELSE 10 END AS yield_kg_ha,
@@ -383,8 +383,8 @@ SELECT district, year,
 FROM f""")
 def b19(spark, folder):
     df = A.yield_panel(spark, folder).select(
-        "district", "year", (F.col("yield_kg_ha") / 30000).alias("yield_raw"), "production")
-    return C.harmonize_crop_units(df, "wheat", ["district", "year"])
+        "district", "season", "year", (F.col("yield_kg_ha") / 30000).alias("yield_raw"), "production")
+    return C.harmonize_crop_units(df, "wheat", ["district", "season", "year"])
 
 
 @query("b20_sanitize_weather", """

@@ -432,18 +432,20 @@ def _latest_sql():
     out = ",\n".join(f"  ~{n} AS {n}" for n, _ in cols)
     parts = ", ".join(f"CAST({CAL[n]} AS INTEGER) AS {n}" for n in ("year", "month", "day", "day_of_week", "week_of_year"))
     return f"""
-WITH s AS (SELECT * FROM @obs@ WHERE reported_date < CASE WHEN variety = 'A' THEN DATE '1995-02-10' ELSE DATE '1999-01-01' END),
+WITH s AS (SELECT * FROM @obs@ UNION ALL SELECT * REPLACE ('early' AS commodity) FROM @obs@
+  WHERE reported_date < CASE WHEN variety = 'A' THEN DATE '1995-02-10' ELSE DATE '1999-01-01' END),
 l AS (SELECT *, {inner}, row_number() OVER (PARTITION BY commodity, market, variety ORDER BY reported_date DESC) AS back FROM s)
-SELECT market, variety, reported_date, modal_price, {parts}, 0.0::DOUBLE AS price_spread, 0.5::DOUBLE AS price_position_in_range,
+SELECT commodity, market, variety, reported_date, modal_price, {parts}, 0.0::DOUBLE AS price_spread, 0.5::DOUBLE AS price_position_in_range,
 {out}
 FROM l WHERE back = 1"""
 
 
 @query("d24_latest_feature_row", _latest_sql())
 def d24(spark, folder):
-    df = obs(spark, folder).filter(
-        "reported_date < CASE WHEN variety = 'A' THEN DATE'1995-02-10' ELSE DATE'1999-01-01' END")
-    return T.latest_feature_row(df.select(*T.SERIES, "reported_date", P, ARR)).drop("commodity", ARR)
+    # whole series, and beside them the same series as they were early on, when some were short
+    df = obs(spark, folder).select(*T.SERIES, "reported_date", P, ARR)
+    early = df.filter("reported_date < CASE WHEN variety = 'A' THEN DATE'1995-02-10' ELSE DATE'1999-01-01' END")
+    return T.latest_feature_row(df.union(early.withColumn("commodity", F.lit("early")))).drop(ARR)
 
 
 CORE_SQL = (lags((1, 7, 14, 30)) + means((7, 14, 30)) + stds((7, 14), zero=False) + cal(*T.CALENDAR)

@@ -97,11 +97,11 @@ def f05(spark, folder):
 
 @query("f06_purge_by_target_date", f"""
 WITH {_forward_sql(14)},
-j AS (SELECT o.*, target_date_14d FROM @obs@ o LEFT JOIN f14 USING (market, variety, reported_date) WHERE o.reported_date < DATE '2000-01-01')
+j AS (SELECT o.*, target_date_14d FROM @obs@ o LEFT JOIN f14 USING (market, variety, reported_date))
 SELECT market, count(*) AS n, count(*) FILTER (target_date_14d >= DATE '2000-01-01') AS purged,
   count(*) FILTER (reported_date > DATE '2000-01-01' - 17) AS purged_fallback FROM j GROUP BY market""")
 def f06(spark, folder):
-    df = L.forward_calendar_target(A.observations(spark, folder), 14).filter("reported_date < '2000-01-01'")
+    df = L.forward_calendar_target(A.observations(spark, folder), 14)
     exact = S.purge_by_target_date(df, "2000-01-01", "target_date_14d", 14)
     both = S.purge_by_target_date(exact.withColumnRenamed("purged", "p1"), "2000-01-01", None, 14)
     return both.groupBy("market").agg(F.count("*").alias("n"), F.count_if("p1").alias("purged"),

@@ -18,6 +18,7 @@ DATE_SHAPES = (
     (r"^([A-Za-z]{3,9})\.?[- ](\d{1,2}),?[- ](\d{4})$", "$3-$1-$2"),
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+YEAR_MONTH_DAY = r"^(\d{4}|\d{2})[-/.]([A-Za-z]{3,9}|\d{1,2})[-/.]\d{1,2}$"
 #: Two-digit years from this one on are of the last century.
 PIVOT_YEAR = 69
 
@@ -31,13 +32,18 @@ def parse_dates(col: Column) -> Column:
     text = F.regexp_replace(F.trim(col.cast("string")), TIME_OF_DAY, "")
     for shape, order in DATE_SHAPES:
         text = F.regexp_replace(text, shape, order)
-    part = lambda i: F.try_element_at(F.split(text, "[-/.]"), F.lit(i))
     names = [(name, i) for i, full in enumerate(MONTHS, 1) for name in dict.fromkeys((full, full[:3]))] + [("sept", 9)]
-    month = F.when(part(2).rlike("^[A-Za-z]"), F.try_element_at(
-        F.create_map(*(F.lit(x) for pair in names for x in (pair[0], str(pair[1])))), F.lower(part(2)))).otherwise(part(2))
-    year = F.when(F.length(part(1)) == 2, F.concat(F.when(part(1) >= str(PIVOT_YEAR), "19").otherwise("20"), part(1))).otherwise(part(1))
-    fits = text.rlike(r"^(\d{4}|\d{2})[-/.]([A-Za-z]{3,9}|\d{1,2})[-/.]\d{1,2}$")
-    return F.when(fits, F.try_to_timestamp(F.concat_ws("-", year, month, part(3)), F.lit("y-M-d")).cast("date"))
+    numbers = F.create_map(*(F.lit(x) for pair in names for x in (pair[0], str(pair[1]))))
+
+    def date(parts: Column) -> Column:
+        year, month, day = (F.get(parts, F.lit(i)) for i in range(3))
+        month = F.coalesce(F.try_element_at(numbers, F.lower(month)), month)
+        year = F.concat(F.when(F.length(year) == 4, "").when(year >= str(PIVOT_YEAR), "19").otherwise("20"), year)
+        return F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("y-M-d")).cast("date")
+    # a text of another shape gives no parts; the lambda's argument keeps the steps before it from being repeated
+    parts = F.regexp_extract_all(text, F.lit(YEAR_MONTH_DAY), F.lit(0))
+    fields = F.transform(parts, lambda t: F.split(t, "[-/.]"))
+    return F.get(F.transform(fields, date), F.lit(0))
 
 
 def finite(col: Column) -> Column:

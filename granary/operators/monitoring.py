@@ -12,6 +12,7 @@ from granary.operators import cleaning as C
 from granary.operators import ledger as K
 from granary.operators.upserts import upsert_keep_first, upsert_last_wins
 from granary.schemas import OBS_KEY
+from granary.session import materialize
 
 MAX_LAG_DAYS = 14       # fixed value
 GROUP_SHIFT_PCT = 35.0  # fixed value
@@ -138,23 +139,27 @@ def daily_prospective_run(raw_batch: DataFrame, stored: DataFrame, ledger: DataF
     """Normalise, upsert, check freshness and drift, issue, resolve, report.
 
     Gates are values inside the plan: a stale or empty batch leaves the forecast
-    table empty, everything else still runs. Nothing is collected.
+    table empty, everything else still runs. Nothing is collected. Batch, merged
+    table and forecasts are written once, and every later step reads them.
     """
-    batch = C.normalize_batch(raw_batch, markets, varieties)
+    batch = materialize(C.normalize_batch(raw_batch, markets, varieties), "batch")
     merged = upsert_last_wins(stored.withColumn("created_at", _day(as_of)), batch.withColumn("created_at", _day(as_of)),
                               ["modal_price", "arrivals"]).drop("created_at")
+    merged = materialize(merged, "observations")
     fresh = freshness(batch, as_of)
     is_open = F.lit(True) if allow_stale else ~fresh.select("is_stale").scalar()
     has_rows = batch.agg(F.count("*")).scalar() > 0
-    issued = K.generate_price_forecasts(merged, [as_of], existing=ledger).filter(is_open & has_rows)
-    resolved = K.resolve_price_outcomes(ledger, merged, recheck=True)
+    ledger = materialize(ledger, "ledger")
+    issued = materialize(K.generate_price_forecasts(merged, [as_of], existing=ledger).filter(is_open & has_rows), "issued")
+    resolved = materialize(K.resolve_price_outcomes(ledger, merged, recheck=True), "resolved")
     book = resolved.unionByName(K._with_outcome_columns(issued))
     metrics = K.price_shadow_metrics(book)
     drift = drift_mean_2sd(batch, overall)
+    states = row_scalar(resolved.agg(F.count_if(F.col("status") == "EVALUATED").alias("evaluated"),
+                                     F.count_if(F.col("status") == "PENDING").alias("pending")))
     audit = fresh.select(
         _day(as_of).alias("run_date"), F.when(~has_rows, "EMPTY").when(~is_open, "STALE").otherwise("OK").alias("status"),
         "latest_date", "lag_days", "is_stale", batch.agg(F.count("*")).scalar().alias("accepted"),
         drift.agg(F.max("drift")).scalar().alias("drift"), issued.agg(F.count("*")).scalar().alias("forecasts_issued"),
-        resolved.agg(F.count_if(F.col("status") == "EVALUATED")).scalar().alias("evaluated"),
-        resolved.agg(F.count_if(F.col("status") == "PENDING")).scalar().alias("pending"))
+        states["evaluated"].alias("evaluated"), states["pending"].alias("pending"))
     return {"observations": merged, "ledger": book, "metrics": metrics, "audit": audit}

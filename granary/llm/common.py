@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,21 @@ def saved(df: DataFrame, name: str, **options) -> DataFrame:
     """Write a frame to the shared folder and read it back: it survives lost executors and cuts the lineage."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of saved frames that no later step reads, of large ones as soon as they are used up.
+
+    The collection lets Spark's cleaner drop the shuffle files of the steps that are over as well.
+    """
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import in_arrow, saved, slices
+from granary.llm.common import discard, in_arrow, saved, slices
 from granary.llm.graph import components
 
 #: Differences below which four cells per part are used; spare cells of the other scopes.
@@ -202,7 +202,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
     x, y = (full.select(F.col("number").alias(c), F.col("features").alias(f"{c}_set")) for c in "ab")
     common = F.size(F.array_intersect("a_set", "b_set"))
     both = pairs.join(x, "a").join(y, "b")
-    return both.where(common * q >= (F.size("a_set") + F.size("b_set") - common) * p).select("a", "b").distinct()
+    links = saved(both.where(common * q >= (F.size("a_set") + F.size("b_set") - common) * p).select("a", "b").distinct(), "links")
+    discard(full)
+    return links
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -227,11 +229,12 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
     ``docs`` has doc_id (long) and text. component_id is the smallest doc_id reachable by links.
     """
     docs = docs.select("doc_id", "text")
-    rows = saved(sets(docs, width, p, q).withColumn("row", F.coalesce("doc_id", _negative(F.xxhash64("class")))), "sets")
-    classes = saved(_numbered(rows), "classes")
+    signing = saved(sets(docs, width, p, q).withColumn("row", F.coalesce("doc_id", _negative(F.xxhash64("class")))), "sets")
+    classes = saved(_numbered(signing), "classes")
+    rows = saved(signing.select("doc_id", "size", "class", "row"), "rows")
 
     by_sign = Window.partitionBy("sign").orderBy("row")
-    signed = rows.select(F.explode("signs").alias("sign"), "row")
+    signed = signing.select(F.explode("signs").alias("sign"), "row")
     shared = signed.select("sign", "row", F.lag("row").over(by_sign).alias("before"),
                            F.lead("row").over(by_sign).alias("after")).where("before IS NOT NULL OR after IS NOT NULL")
     named = rows.where("size > 0").select("row", "class").distinct().join(classes.select("class", "number"), "class").select("row", "number")
@@ -240,13 +243,14 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
     shared = shared.select("sign", "row").join(named, "row").select("sign", "number").repartition("sign").distinct()
     buckets = saved(shared.select("sign", "number", F.min("number").over(whole).alias("leader"), F.max("number").over(whole).alias("top"))
                     .where("leader <> top").drop("top"), "buckets")
+    discard(signing)
 
     about = lambda c: classes.select(F.col("number").alias(c), "size", "parity").alias(f"c{c}")
     # one comparison per class at first: with the leader it shares most signatures with
     first = buckets.where("number <> leader").groupBy(F.col("leader").alias("a"), F.col("number").alias("b")).count()
     first = first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     first = saved(first.join(about("a"), "a").join(about("b"), "b").where(_may_link("ca", "cb", p, q)).select("a", "b"), "pairs")
-    links = saved(_linked(first, docs, classes, width, p, q), "links")
+    links = _linked(first, docs, classes, width, p, q)
     roots = components(links)
 
     rooted = buckets.join(roots, F.col("number") == F.col("node"), "left").select(
@@ -260,8 +264,9 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
     second = _enough_shared(second.groupBy("a", "b", "x", "y").agg(F.count("*").alias("shared")), p, q)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = saved(second.join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(open_rows, buckets)
     if not second.isEmpty():
-        more = saved(_linked(second, docs, classes, width, p, q), "links")
+        more = _linked(second, docs, classes, width, p, q)
         if not more.isEmpty():
             roots = components(links.union(more))
 

@@ -6,6 +6,11 @@ holds most of their neighbours, as far as the parts' room allows. A softmax clas
 the neighbours in each part. Every vector of the table is then put into its most probable part, queries go to
 several of their most probable parts, and the candidates there are ranked by exact distances in double precision.
 
+How many parts a query visits is measured, not fixed: some vectors of the sample are kept out of the graph and the fit,
+and their exact neighbours in the rest of it tell how many of the most probable parts hold ``RECALL`` of them. Vectors
+without structure need most of the parts. In a table larger than the sample the neighbours are nearer than
+those in the sample, so the number errs to the safe side.
+
 Equal vectors share one entry: the smallest ids of a vector are kept, as many as a result can hold (k, and one
 more as a query leaves itself out), so a vector that a third of the rows share costs one distance per query.
 Vectors that are null, zero or hold a null or non-finite component take no part, neither do those of another
@@ -25,8 +30,10 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import in_arrow, saved
 
-#: Bound of the sample that the parts are learned from; neighbours per vertex; rows per part; parts a query visits.
+#: Bound of the sample that the parts are learned from; neighbours per vertex; rows per part; least parts a query visits.
 SAMPLE, GRAPH_K, PART_ROWS, PROBES = 8_192, 10, 128, 24
+#: Share of the held-out vectors' neighbours that the visited parts hold; held-out vectors at most.
+RECALL, HELD_OUT = 0.95, 512
 ROUNDS, STEPS = 12, 300
 #: Rows of a part that one task holds at once, and parts are dealt to at least as many groups.
 BLOCK = 4_096
@@ -119,18 +126,34 @@ def learn(sample: np.ndarray, parts: int) -> Router:
     return Router.fit(sample, wanted)
 
 
-def learned(entries: DataFrame, parts: int) -> Router | None:
-    """The router of a bounded sample of the vectors, fitted in one task; None for one part."""
+def measured_probes(router: Router, held: np.ndarray, rest: np.ndarray, k: int) -> int:
+    """The least number of parts that hold ``RECALL`` of the exact k nearest rows of the held-out ones."""
+    parts, norms, places = router.scores(rest).argmax(1), (rest * rest).sum(1), []
+    for at in range(0, len(held), 256):
+        q = held[at:at + 256]
+        near = np.argpartition(norms - 2 * q @ rest.T, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-router.scores(q), axis=1, kind="stable"), axis=1)
+        places.append(np.take_along_axis(place, parts[near], axis=1).ravel())
+    places = np.sort(np.concatenate(places))
+    return int(places[int(np.ceil(RECALL * len(places))) - 1]) + 1
+
+
+def learned(entries: DataFrame, parts: int, k: int, probes: int) -> tuple[Router | None, int]:
+    """The router of a bounded sample of the vectors and the parts to visit, at least ``probes``; fitted in one task."""
     if parts < 2:
-        return None
+        return None, 1
     sample = entries.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router = learn(np.concatenate([_matrix(b.column("vector")) for b in batches if b.num_rows]), parts)
-        yield pa.RecordBatch.from_arrays([pa.array([router.centre.tolist()]), pa.array([router.scale]), pa.array([router.weights.ravel().tolist()])],
-                                         ["centre", "scale", "weights"])
-    fitted = in_arrow(sample, stage, "centre array<double>, scale double, weights array<double>").first()
-    return Router(np.array(fitted.centre), fitted.scale, np.array(fitted.weights).reshape(-1, parts))
+        x, visits = np.concatenate([_matrix(b.column("vector")) for b in batches if b.num_rows]), parts
+        held = min(HELD_OUT, len(x) // 8) if parts > probes else 0
+        router = learn(x[held:], parts)
+        if held:
+            visits = max(probes, measured_probes(router, x[:held], x[held:], min(k, len(x) - held)))
+        yield pa.RecordBatch.from_arrays([pa.array([router.centre.tolist()]), pa.array([router.scale]), pa.array([router.weights.ravel().tolist()]),
+                                          pa.array([visits], pa.int32())], ["centre", "scale", "weights", "visits"])
+    fitted = in_arrow(sample, stage, "centre array<double>, scale double, weights array<double>, visits int").first()
+    return Router(np.array(fitted.centre), fitted.scale, np.array(fitted.weights).reshape(-1, parts)), fitted.visits
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -150,7 +173,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by ``every``."""
+    """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by ``every``; at least ``probes`` parts are visited."""
     rows = saved(usable(vectors), "vectors")
     # -0.0 equals 0.0; both are one vector
     plain = F.transform("vector", lambda v: v + F.lit(0.0))
@@ -164,8 +187,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probes: int = PRO
     if not count:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     parts = max(1, min(count // PART_ROWS, min(count, SAMPLE) // 32))
-    router = learned(entries, parts)
-    visits = min(probes, parts)
+    router, visits = learned(entries, parts, k, probes)
 
     def route(column: str, n: int):
         def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,30 @@ def test_ann_edges(spark):
     assert ann.nearest(frame.where("vec_id = 900")).count() == 0
 
 
+def test_recall_where_parts_are_left_out(spark):
+    # 100 parts: no structure at all, and clusters, of which few parts are enough
+    draw = np.random.default_rng(5)
+    plain = draw.normal(size=(12_800, 64))
+    clusters = draw.normal(size=(400, 64))[draw.integers(0, 400, 12_800)] + 0.2 * draw.normal(size=(12_800, 64))
+    for x in (plain, clusters):
+        x = np.float32(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(float)
+        frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+        got, hits = by_query(ann.nearest(frame, 10, 100)), 0
+        for i in range(0, len(x), 100):
+            d = ((x - x[i]) ** 2).sum(1)
+            d[i] = np.inf
+            hits += len({v for v, _ in got[i]} & set(np.argpartition(d, 9)[:10].tolist()))
+        print("recall", hits / (10 * len(got)))
+        assert len(got) == 128 and hits / (10 * len(got)) >= 0.9
+
+
+def test_probes_are_measured():
+    draw = np.random.default_rng(6)
+    plain, clusters = draw.normal(size=(4096, 64)), draw.normal(size=(200, 64))[draw.integers(0, 200, 4096)] + 0.1 * draw.normal(size=(4096, 64))
+    many, few = (ann.measured_probes(ann.learn(x[256:], 64), x[:256], x[256:], 10) for x in (plain, clusters))
+    assert few < 16 < many <= 64
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(1).normal(size=(2000, 8))
     label = ann.balanced_parts(x, ann.neighbours(x, 8), 16)

@@ -1,13 +1,15 @@
 """Secret scans: a random forest over candidates, native DataFrame functions only.
 
-Candidates are runs of at least ``LEAST`` characters of the base64, hex and identifier alphabets that hold a digit. The
+Candidates are runs of at least ``LEAST`` characters of the base64, hex and identifier alphabets, with or without digits;
+after a secret word or an assignment to one, runs of ``SHORT`` or more of any signs that are no blanks (up to the quote if it is
+quoted); after any other assignment such runs up to the next separator. The forest decides, not the expression. The
 text is cut at its candidates, so each knows what stands before and behind it. Features: length, share and kind of
 characters and the transitions between kinds, variety of characters, coverage by the corpus's own dictionary, whether it
 is part of a path, address or number, and the words next to it. A random forest trained from labelled findings removes
 false positives; findings it keeps are reported, and ``redacted`` replaces their values in the text.
 
 There is no table of labelled secrets, so ``labelled_findings`` makes one: templates filled with digests as secrets or
-as look-alikes (checksums, commits, identifiers, numbers, addresses), a fixed number of rows. It is a parameter of the scan.
+as look-alikes (checksums, commits, identifiers, numbers, addresses, words), a fixed number of rows. It is a parameter of the scan.
 
 The dictionary holds the corpus's alphabetic words, counted over all documents. Null and empty texts have no candidates.
 Repeated rows are scanned each; rows with a null id are scanned too. Other columns are not looked at and pass through
@@ -24,18 +26,40 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import fresh, saved
 
-#: Characters of the shortest candidate; documents a dictionary word occurs in; labelled findings; trees and their depth.
-LEAST, KNOWN_FROM, LABELLED, TREES, DEPTH, SEED = 12, 5, 6_000, 30, 7, 17
+#: Characters of the shortest candidate, and of one behind an assignment or a secret word; documents a dictionary word occurs in; labelled findings; trees and their depth.
+LEAST, SHORT, KNOWN_FROM, LABELLED, TREES, DEPTH, SEED = 12, 4, 5, 6_000, 30, 7, 17
 MASK = "[SECRET]"
 # Fixed word lists of the neighbourhood features.
 SECRET_WORDS = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private)"
 PLAIN_WORDS = r"(?i)(commit|sha\d*|md5|checksum|digest|uuid|guid|version|order|phone|call|invoice|example|sample|isbn|etag|revision)"
 
 _CHARS = r"[A-Za-z0-9+/_-]"
-CANDIDATE = rf"(?<!{_CHARS})(?=[A-Za-z+/_-]*+[0-9]){_CHARS}{{{LEAST},}}+={{0,2}}"
+# Names of secrets by length: a look behind has a fixed width in some engines. A tuple per length keeps them readable.
+_NAMES = (("pwd",), ("auth", "pass"), ("token",), ("secret", "passwd", "bearer", "apikey"), ("api_key", "api-key", "private"), ("password",),
+          ("accesskey",), ("access_key", "access-key", "secret_key", "secret-key", "credential"), ("private_key", "private-key", "credentials"))
+_BLANK, _SIGN, _FREE = r"[ \t]", r"[^\x00-\x20]", r"[^\x00-\x20\"']"
+# What stands between a name and its value, by the end that a position is looked at for first; the last only behind names.
+_BETWEEN = (("[=:]", ("[=:]", "[:=]=", f"{_BLANK}[=:]", "[\"'][=:]")),
+            (f"[=:]{_BLANK}", (f"[=:]{_BLANK}", f"{_BLANK}[=:]{_BLANK}", f"[\"'][=:]{_BLANK}")), (f"[=:]{_BLANK}{{2}}", (f"[=:]{_BLANK}{{2}}",)),
+            (f"(?:[Ww][Dd]|[Tt][Hh]|[Ss][Ss]|[Ee][NnTtRrYy]|[Tt][Ee]|[Rr][Dd]|[Aa][Ll]|[Ll][Ss]|is){_BLANK}", (_BLANK, f"{_BLANK}is{_BLANK}")))
+
+
+def _behind_name(quote: str) -> str:
+    """Positions behind a name of a secret, what assigns it and the quote."""
+    names = lambda between: "|".join(f"(?<=(?:(?i:{'|'.join(n)})){between}{quote})" for n in _NAMES)
+    return "(?:" + "|".join(f"(?<={end}{quote})(?:" + "|".join(map(names, all_)) + ")" for end, all_ in _BETWEEN) + ")"
+
+
+# The scheme of a header and the two slashes of an address are no values.
+_VALUE = r"(?!(?i:bearer|basic)[ \t])(?!//)"
+_QUOTE = "[\"']"
+CANDIDATE = "|".join((
+    rf"(?<=[=: \t\"'])(?:(?<={_QUOTE}){_behind_name(_QUOTE)}{_VALUE}{_FREE}{{{SHORT},}}+|(?<!{_QUOTE}){_behind_name('')}{_VALUE}(?![\"'=:]){_SIGN}{{{SHORT},}}+"
+    rf"|(?:(?<=[=:])|(?<=[=:]{_BLANK})|(?<=[=:]{_QUOTE})|(?<=[=:]{_BLANK}{_QUOTE})){_VALUE}[^\x00-\x20\"'&,;:=<>(){{}}\[\]]{{{SHORT},}}+={{0,2}})",
+    rf"(?<!{_CHARS}){_CHARS}{{{LEAST},}}+={{0,2}}"))
 CONTEXT = 40
 FEATURES = ("length", "lower_share", "upper_share", "digit_share", "transitions", "variety", "entropy", "longest_letters",
-            "is_hex", "is_number", "dictionary", "path", "address", "assigned", "quoted", "secret_near", "plain_near")
+            "is_hex", "is_number", "dictionary", "path", "address", "assigned", "quoted", "secret_near", "plain_near", "named", "equals", "signs")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -94,29 +118,51 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         flag(F.concat(token_before, F.lit(" "), token_after).rlike(r"@|\.[a-z]{2,}|://")).alias("address"),
         flag(F.col("before").rlike(r"[=:]\s*[\"']?$")).alias("assigned"),
         flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).alias("quoted"),
-        flag(F.col("before").rlike(SECRET_WORDS)).alias("secret_near"), flag(F.col("before").rlike(PLAIN_WORDS)).alias("plain_near"))
+        flag(F.col("before").rlike(SECRET_WORDS)).alias("secret_near"), flag(F.col("before").rlike(PLAIN_WORDS)).alias("plain_near"),
+        flag(F.col("before").rlike(SECRET_WORDS + r"[\w-]*[\"']?\s*(is\s|[=:]*)\s*[\"']?$")).alias("named"), flag(F.col("before").rlike("=\\s*[\"']?$")).alias("equals"),
+        (count(value, "[^A-Za-z0-9/_-]") / n).alias("signs"))
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """doc_id, text, label: templates of secrets (1) and look-alikes (0), filled with digests of the row number."""
+    """doc_id, text, label, template: secrets (1) and look-alikes (0), filled with digests of the row number."""
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("doc_id").cast("string")), 256)
+    pick = lambda salt, *of: F.element_at(F.array(*map(F.lit, of)), F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(len(of))).cast("int") + 1)
     up = F.translate(F.upper(digest("k")), "0189", "GHJK")
     mixed = F.substring(F.translate(F.base64(F.unhex(digest("m"))), "+/=", "xYz"), 1, 36)
     digits = F.substring(F.translate(digest("n"), "abcdef", "104729"), 1, 16)
-    word = F.element_at(F.array(*map(F.lit, ("account", "the", "value", "in", "server", "and", "para", "der", "service", "que"))),
-                        F.pmod(F.xxhash64("doc_id"), F.lit(10)).cast("int") + 1)
+    caps = F.translate(F.upper(digest("c")), "0123456789", "QWRTYUIOPS")
+    letters = F.translate(mixed, "0123456789", "qWeRtYuIoP")
+    lower = F.translate(digest("l"), "0123456789", "ghijkmorst")
+    signs = lambda at, n: F.concat(F.substring(mixed, at, 4), pick("s", "!", "$", "&", "#", "@", "%", "*"), F.substring(mixed, at + 5, n),
+                                   pick("t", "!", "#", "&", "?", "^", "~"), F.substring(digits, 1, 1))
+    word = pick("w", "account", "the", "value", "in", "server", "and", "para", "der", "service", "que")
+    name = lambda salt: pick(salt, "correct", "horse", "battery", "staple", "summer", "winter", "dragon", "monkey", "garden", "purple")
+    usual = pick("u", "required", "expired", "changed", "policy", "recovery", "missing", "meeting", "garden", "property", "hidden", "invalid", "of", "ring", "information")
+    long = pick("v", "internationalisation", "responsabilidades", "Authorization", "characteristically", "Geschwindigkeit", "well-established", "infrastructure",
+                "state-of-the-art", "recommendation", "Verantwortung", "institutionnelle", "max_connections", "communication", "naturalmente", "and/or-something")
     say = lambda *parts: F.concat(word, F.lit(" "), *(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit(" "), word)
     hex_ = lambda n: F.substring(digest("h"), 1, n)
+    size = F.pmod(F.xxhash64("doc_id"), F.lit(60)).cast("int") + 12
     secret = (say("AKIA", F.substring(up, 1, 16)), say('token = "', hex_(40), '"'), say("password=", hex_(18)), say("api_key: ", mixed),
-              say('secret = "', mixed, '"'), say("Authorization: Bearer ", mixed), say("AKIA", F.substring(up, 9, 16), "."),
-              say("passwd: ", F.substring(mixed, 1, 16)), say("access_key=", F.upper(F.substring(mixed, 1, 20))), say("ghp_", mixed))
+              say('secret = "', mixed, '"'), say("Auth: Bearer ", mixed), say("AKIA", F.substring(up, 9, 16), "."),
+              say("passwd: ", F.substring(mixed, 1, 16)), say("access_key=", F.upper(F.substring(mixed, 1, 20))), say("ghp_", mixed),
+              say("AKIA", F.substring(caps, 1, 16)), say("password=", F.lower(F.substring(mixed, 3, 7)), F.substring(digits, 2, 2)),
+              say("password=", signs(2, 6)), say("passwd: ", name("a"), "_", name("b"), "_", name("c")), say("pwd=", F.substring(lower, 1, 10)),
+              say('secret_key: "', signs(9, 8), '"'), say("password ", name("a"), F.substring(digits, 1, 3)), say("token: ", F.substring(letters, 1, 24)),
+              say("password is ", signs(5, 5)), say("api-key '", F.substring(mixed, 1, 20), "'"), say("password: ", name("a"), "-", name("b"), F.substring(digits, 1, 2)),
+              say('"password": "', signs(1, 3), '"'))
     plain = (say("commit ", hex_(40)), say("sha1: ", hex_(40)), say("md5 checksum ", hex_(32)), say("+", digits), say(digits),
              say("https://example.org/files/", hex_(16), "/index"), say("name", F.substring(digits, 1, 12), "@mail.example.com"),
              say("order-", F.substring(digits, 1, 12)), say("lib/module_", F.substring(digits, 1, 4), "/component"),
-             say("uuid ", F.substring(digest("u"), 1, 8), "-", F.substring(digest("u"), 9, 4), "-4", F.substring(digest("u"), 14, 3)))
-    kind = F.pmod(F.col("doc_id"), F.lit(20))
+             say("uuid ", F.substring(digest("u"), 1, 8), "-", F.substring(digest("u"), 9, 4), "-4", F.substring(digest("u"), 14, 3)),
+             say(F.substring(lower, 1, 14)), say(long), say("note: ", usual), say("the secret ", usual), say("token ", usual), say("password ", usual), say("password: ", usual),
+             say("width=", F.substring(digits, 1, 4)), say(F.upper(long)), F.repeat(pick("r", "-", "_", "/", "+"), size), say("src/", name("a"), "/", name("b"), "/component"),
+             F.repeat(pick("x", "x", "a", "A", "ha"), size), say("mode = '", usual, "'"), say("date: 2024-0", F.substring(digits, 1, 1), "-1", F.substring(digits, 2, 1)),
+             say("Password: ", long), say("private ", long))
+    kind = F.pmod(F.col("doc_id"), F.lit(len(secret) + len(plain)))
     text = F.coalesce(*(F.when(kind == i, t) for i, t in enumerate((*secret, *plain))))
-    return spark.range(rows).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"), (kind < 10).cast("int").alias("label"))
+    return spark.range(rows).withColumnRenamed("id", "doc_id").select(
+        "doc_id", text.alias("text"), (kind < len(secret)).cast("int").alias("label"), kind.cast("int").alias("template"))
 
 
 def train(findings: DataFrame, words: DataFrame) -> RandomForestClassificationModel:

@@ -47,6 +47,27 @@ def test_search_edges(spark):
     assert search.top_documents(empty, empty.selectExpr("doc_id query_id", "text")).count() == 0
 
 
+def test_search_ids_repeated_across_shards(spark, monkeypatch):
+    # shards of four rows in one task; ids 1 and 2 are in every shard, no shard holds a repeat of its own
+    docs = []
+    for n in range(12):
+        docs += [(1, "red fox " + "pad " * n), (2, "red " + "pad " * n), (100 + n, "red fox den " + "pad " * (3 + n)), (200 + n, "fox " + "pad " * n)]
+    asked = [(999, "red fox den"), (998, "fox"), (1, "red fox")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    in_arrow = search.in_arrow
+
+    def small_shards(df, stage, schema):
+        def run(batches):
+            search.SHARD_DOCS = 4
+            yield from stage(batches)
+        return in_arrow(df, run, schema)
+    monkeypatch.setattr(search, "in_arrow", small_shards)
+    got = {}
+    for r in search.top_documents(frame, spark.createDataFrame(asked, "query_id long, text string"), 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -round(r.score, 6), r.doc_id))
+    assert {q: [v[1:] for v in sorted(rows)] for q, rows in got.items()} == brute(docs, asked, 10)
+
+
 def test_pruning_skips_blocks_and_loses_nothing(monkeypatch):
     import numpy as np
     monkeypatch.setattr(search, "BLOCK", 8)

@@ -40,6 +40,13 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole address of a path, in the session's default store where it names none, as tasks open it without Spark."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    address = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return address if "://" in address else address.replace(":", "://", 1)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

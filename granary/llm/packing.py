@@ -25,6 +25,8 @@ are not looked at. An empty table gives no rows. Sequence ids run from 0 without
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -59,7 +61,9 @@ class Words:
         self.known: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        # few at a time: the library's own record of a text is many times its ids
+        return [np.array(e.ids, "<u4") for at in range(0, len(texts), AT_ONCE)
+                for e in self.library.encode_batch_fast(texts[at:at + AT_ONCE], add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         plain, other = [], []
@@ -107,12 +111,19 @@ class Words:
         return np.insert(flat[at], last, CLOSING), np.append(0, last + np.arange(1, len(texts) + 1))
 
 
+@functools.lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """One vocabulary per worker, with the words its tasks have met; Spark's tasks are the only threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Words(path)
+
+
 def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, text to written rows (doc_id, piece, start, length, ids_crc32, row), and ``ids`` where they are asked for."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = words_of(path)
         for batch in slices(batches, "text"):
             ids, offsets = words.texts(batch.column("text"))
             size = np.diff(offsets)

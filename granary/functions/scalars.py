@@ -19,6 +19,9 @@ DATE_SHAPES = (
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 YEAR_MONTH_DAY = r"^(\d{4}|\d{2})[-/.]([A-Za-z]{3,9}|\d{1,2})[-/.]\d{1,2}$"
+#: The usual spellings, digits written as 0: year first, day first. Fixed values.
+YEAR_FIRST = ("0000-00-00", "0000/00/00", "0000.00.00")
+DAY_FIRST = ("00-00-0000", "00/00/0000", "00.00.0000", "00 00 0000")
 #: Two-digit years from this one on are of the last century.
 PIVOT_YEAR = 69
 
@@ -26,10 +29,28 @@ PIVOT_YEAR = 69
 def parse_dates(col: Column) -> Column:
     """Date of a text in any usual spelling, with or without a time of day, else NULL.
 
-    Spellings are told apart by their shape, so that only one pattern is parsed per text; a date that does not
-    exist is NULL.
+    The usual shapes, ten characters with all digits in place, are cut at fixed places; only texts of another shape
+    meet the patterns. A date that does not exist is NULL.
     """
-    text = F.regexp_replace(F.trim(col.cast("string")), TIME_OF_DAY, "")
+    plain = F.trim(col.cast("string"))
+    shape = F.translate(plain, "123456789", "000000000")
+
+    number = lambda at, n: F.substring(plain, at, n).cast("int")
+
+    def cut(year: int, month: Column, day: int) -> Column:
+        zero = F.lit(0)
+        return F.try_make_timestamp(number(year, 4), month, number(day, 2), zero, zero, zero.cast("decimal(16,6)")).cast("date")
+    # day, a short month name, year: the name's place in the list of all names
+    name = F.call_function("locate", F.lower(F.substring(plain, 4, 3)), F.lit("".join(m[:3] for m in MONTHS)))
+    named = ((F.length(shape) == 11) & (F.substring(shape, 1, 2) == "00") & (F.substring(shape, 8, 4) == "0000") & (name % 3 == 1)
+             & F.substring(shape, 3, 1).isin(" ", "-", "/") & F.substring(shape, 7, 1).isin(" ", "-", "/"))
+    return (F.when(shape.isin(*YEAR_FIRST), cut(1, number(6, 2), 9)).when(shape.isin(*DAY_FIRST), cut(7, number(4, 2), 1))
+            .when(named, cut(8, F.floor((name + 2) / 3).cast("int"), 1)).otherwise(_unusual_date(plain)))
+
+
+def _unusual_date(plain: Column) -> Column:
+    """Date of a trimmed text with names of months, short numbers or a time of day."""
+    text = F.regexp_replace(plain, TIME_OF_DAY, "")
     for shape, order in DATE_SHAPES:
         text = F.regexp_replace(text, shape, order)
     names = [(name, i) for i, full in enumerate(MONTHS, 1) for name in dict.fromkeys((full, full[:3]))] + [("sept", 9)]

@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.distributed import first_by
 from granary.schemas import OBS_KEY
+from granary.session import materialize
+
+
+def _stored_keys(target: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of a written batch that the target has.
+
+    Only key columns are read, inside the batch's span of dates. The batch's size is known at planning: below the
+    session's threshold it is broadcast and the target stays where it is, beyond it the join sorts both sides
+    (a target bucketed by its keys still stays).
+    """
+    dates = [c for c in keys if isinstance(target.schema[c].dataType, (T.DateType, T.TimestampType))]
+    slim = target.select(*keys)
+    if dates:
+        span = fresh.agg(*[f(c).alias(f"{n}_{c}") for c in dates for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        for c in dates:
+            if span[f"lo_{c}"] is not None:
+                slim = slim.filter(F.col(c).between(span[f"lo_{c}"], span[f"hi_{c}"]) | F.col(c).isNull())
+    offered = fresh.select(*[F.col(c).alias(f"_k_{c}") for c in keys])
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys))
+    return materialize(slim.join(offered, same, "left_semi"), "stored-keys")
 
 
 def upsert_keep_first(target: DataFrame, batch: DataFrame, keys: Sequence[str] = OBS_KEY,
                       order: Sequence[str] | None = None) -> DataFrame:
     """Target plus the batch rows whose key it lacks; column ``_inserted`` tells them apart.
 
-    Within the batch the first row by ``order`` (default: all columns) wins.
+    Within the batch the first row by ``order`` (default: all columns) wins. The target is scanned, not shuffled.
     """
     order = list(order or batch.columns)
-    fresh = first_by(batch, keys, order).join(target.select(*keys), list(keys), "left_anti")
+    fresh = materialize(first_by(batch, keys, order), "batch")
+    new = fresh.join(_stored_keys(target, fresh, keys), list(keys), "left_anti")
     return (target.withColumn("_inserted", F.lit(False))
-            .unionByName(fresh.withColumn("_inserted", F.lit(True))))
+            .unionByName(new.withColumn("_inserted", F.lit(True))))
 
 
 def upsert_counts(merged: DataFrame, batch: DataFrame) -> DataFrame:
@@ -32,23 +56,24 @@ def upsert_counts(merged: DataFrame, batch: DataFrame) -> DataFrame:
 
 def upsert_last_wins(target: DataFrame, batch: DataFrame, values: Sequence[str], created: str = "created_at",
                      keys: Sequence[str] = OBS_KEY, order: Sequence[str] | None = None) -> DataFrame:
-    """New values replace old ones, the first creation time stays.
+    """New values replace old ones, the first creation time stays. The target has one row per key.
 
-    One aggregate per key: the batch outranks the target, and within the batch
-    the last row by ``order`` wins.
+    Within the batch the last row by ``order`` wins, and a new key gets the batch's earliest creation time. The batch
+    is reduced to one row per key and written; the target meets it in a join that is a broadcast while the batch is
+    below the session's threshold, so the target is scanned, not shuffled.
     """
     order = list(order or (created, *values))
-    cols = [*keys, *values, created]
-    both = (target.select(*cols, F.lit(0).alias("_src"))
-            .unionByName(batch.select(*cols, F.lit(1).alias("_src"))))
-    rank = F.struct(F.col("_src"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                    F.struct(*values).alias("_v"))
-    merged = both.groupBy(*keys).agg(
-        F.max(rank).alias("_best"),
-        # the target's own creation time when it had the key, else the batch's earliest
-        F.min(F.struct("_src", created)).alias("_first"))
-    return merged.select(*keys, *[F.col(f"_best._v.{v}").alias(v) for v in values],
-                         F.col(f"_first.{created}").alias(created))
+    rank = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*values).alias("_v"))
+    fresh = materialize(batch.groupBy(*keys).agg(F.max(rank).alias("_best"), F.min(F.struct(created)).alias("_first")).select(
+        *keys, F.col("_best._v").alias("_v"), F.col(f"_first.{created}").alias("_c")), "batch")
+    offered = fresh.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_v")
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys))
+    hit = F.col("_v").isNotNull()
+    kept = target.join(offered, same, "left").select(
+        *keys, *[F.when(hit, F.col(f"_v.{v}")).otherwise(F.col(v)).alias(v) for v in values], created)
+    stored = _stored_keys(target, fresh, keys).select(*[F.col(c).alias(f"_k_{c}") for c in keys])
+    new = fresh.join(stored, same, "left_anti").select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values], F.col("_c").alias(created))
+    return kept.unionByName(new)
 
 
 def batch_acceptance(batch: DataFrame, price: str = "modal_price", date: str = "reported_date") -> DataFrame:

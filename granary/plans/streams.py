@@ -17,8 +17,20 @@ WITH {_BATCH.strip()}
 SELECT commodity, market, variety, reported_date, modal_price, arrivals FROM final""")
 def m01(spark, folder):
     lines = R.read_folder_stream(spark, folder, "lineitem.parquet")
-    log = R.stream_ingest_observations(A.raw_observations(spark, folder, lines), *_spellings(spark, folder))
-    return R.current_observations(log)
+    table = R.observation_table(spark, scratch_path(spark, "current"), buckets=2)
+    return R.stream_ingest_observations(A.raw_observations(spark, folder, lines), *_spellings(spark, folder), table,
+                                        scratch_path(spark, "ingest-checkpoint"))
+
+
+def _by_date(spark, df, steps: int):
+    """Write a frame as files of rising dates, one after the other, and read them as they came, two per micro-batch."""
+    path = scratch_path(spark, "dated-feed")
+    df = materialize(df, "feed")
+    low, high = df.agg(F.min(F.unix_date("reported_date")), F.max(F.unix_date("reported_date"))).first()
+    step = F.floor((F.unix_date("reported_date") - low) * steps / max(high - low + 1, 1))
+    for i in range(steps):
+        df.filter(step == i).coalesce(1).write.mode("append").parquet(path)
+    return R.read_folder_stream(spark, path, "*.parquet", df.schema, 2)
 
 
 def _obs_stream(spark, df, files: int):
@@ -35,9 +47,15 @@ SELECT {_RES_COLS}, CASE status WHEN 'EVALUATED' THEN 'observation in window' WH
 {_RES_OUT}
 FROM r1""")
 def m02(spark, folder):
-    ledger = materialize(A.forecast_ledger(spark, folder), "ledger")
-    feed = _obs_stream(spark, known(spark, folder).select(*R.OBS_KEY, P), 6)
-    return _res(R.apply_maturity(ledger, R.stream_outcome_maturity(feed, ledger)))
+    ledger = A.forecast_ledger(spark, folder)
+    issued = scratch_path(spark, "issued")
+    ledger.write.parquet(issued)
+    ledger = spark.read.parquet(issued)
+    forecasts = R.read_folder_stream(spark, issued, "*.parquet", ledger.schema)
+    feed = _by_date(spark, known(spark, folder).select(*R.OBS_KEY, P), 6)
+    outcomes, progress = R.outcome_table(spark, scratch_path(spark, "outcomes"), 4), R.progress_table(spark, scratch_path(spark, "progress"), 4)
+    R.stream_outcome_maturity(forecasts, feed, outcomes, progress, scratch_path(spark, "maturity-checkpoint"))
+    return _res(R.apply_maturity(ledger, outcomes.snapshot(), progress.snapshot()))
 
 
 @query("m03_stream_freshness_drift", f"""

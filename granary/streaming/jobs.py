@@ -1,25 +1,27 @@
 """Streaming ingest, outcome maturity and rollups.
 
-Every micro-batch writes its own folder, named by its batch id and overwritten
-when the batch is retried, so a restart never duplicates rows. The current state
-is an aggregate over those folders. No watermark drops late rows on the ingest
-and maturity paths: reports may arrive months late and must still count.
+Ingest and maturity merge every micro-batch into a keyed table (``sources.keyed``) under
+the batch's id, so a restart or a retry never counts a row twice and no batch reads
+more of the table than it changes. Rollups write a folder per micro-batch. No
+watermark drops late rows on the ingest path; maturity keeps forecasts open for a
+stated lateness.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from granary.functions.distributed import first_by
 from granary.operators import cleaning as C
 from granary.operators import ledger as K
-from granary.operators.ledger_joins import outcome_match_join
-from granary.schemas import OBS_KEY, SERIES
+from granary.schemas import OBS_KEY, OBSERVATION, SERIES
 from granary.session import scratch_path
+from granary.sources.keyed import KeyedTable
 
 
 def read_folder_stream(spark: SparkSession, folder: str, glob: str, schema=None, files_per_trigger: int | None = None) -> DataFrame:
@@ -49,46 +51,83 @@ def run_log(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], name
     return spark.read.parquet(log)
 
 
+# --- keyed tables ------------------------------------------------------------------------
+
+def merge_stream(stream: DataFrame, table: KeyedTable, transform: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Merge each transformed micro-batch into a keyed table, as the version of its batch id, until the input ends."""
+    query = (stream.writeStream.foreachBatch(lambda batch, batch_id: table.merge(transform(batch), batch_id) and None)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
 # --- ingest ----------------------------------------------------------------------------
 
-def stream_ingest_observations(raw: DataFrame, markets: DataFrame, varieties: DataFrame) -> DataFrame:
-    """Raw text rows to the log of clean keyed rows, deduplicated per micro-batch."""
-    return run_log(raw, lambda b: C.normalize_batch(b, markets, varieties), "ingest")
+CURRENT = T.StructType([*(f for f in OBSERVATION.fields if f.name in OBS_KEY), *(f for f in OBSERVATION.fields if f.name in ("modal_price", "arrivals"))])
+
 
+def observation_table(spark: SparkSession, folder: str, buckets: int = 16, **options) -> KeyedTable:
+    """Current observations: per series and day the highest price, then the largest arrivals, in buckets per year."""
+    return KeyedTable(spark, folder, CURRENT, OBS_KEY, lambda rows, keys: first_by(rows, keys, ["modal_price", "arrivals"], keep_last=True),
+                      buckets, period="reported_date", period_format="yyyy", **options)
 
-def current_observations(log: DataFrame) -> DataFrame:
-    """One row per series and day over all micro-batches, by the same rule as inside a batch."""
-    rows = log.select(*OBS_KEY, "modal_price", "arrivals")
-    return first_by(rows, OBS_KEY, ["modal_price", "arrivals"], keep_last=True)
+
+def stream_ingest_observations(raw: DataFrame, markets: DataFrame, varieties: DataFrame, table: KeyedTable, checkpoint: str) -> DataFrame:
+    """Raw text rows into the table of current observations; a micro-batch costs the buckets that it touches."""
+    merge_stream(raw, table, lambda b: C.normalize_batch(b, markets, varieties), checkpoint)
+    return table.snapshot()
 
 
 # --- maturity ----------------------------------------------------------------------------
 
-def stream_outcome_maturity(obs_stream: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Candidate outcomes and per-series progress of each micro-batch of observations.
+HIT = T.StructType().add("forecast_id", "string").add("day", "date").add("price", "double")
+PROGRESS = T.StructType([*(f for f in OBSERVATION.fields if f.name in SERIES)]).add("latest", "date")
+
+
+def outcome_table(spark: SparkSession, folder: str, buckets: int = 16, **options) -> KeyedTable:
+    """The earliest observation in the window of each forecast that has one."""
+    return KeyedTable(spark, folder, HIT, ["forecast_id"], lambda rows, keys: first_by(rows, keys, ["day", "price"]), buckets, **options)
 
-    The open ledger is read again for every micro-batch, so forecasts issued
-    between batches take part.
+
+def progress_table(spark: SparkSession, folder: str, buckets: int = 16, **options) -> KeyedTable:
+    """The last day reported of each series."""
+    return KeyedTable(spark, folder, PROGRESS, SERIES, lambda rows, keys: rows.groupBy(*keys).agg(F.max("latest").alias("latest")), buckets, **options)
+
+
+def window_hits(forecasts: DataFrame, obs: DataFrame, lateness: str = "60 days", longest_window: int = 31) -> DataFrame:
+    """Streams of issued forecasts and of observations to a stream of (forecast_id, day, price).
+
+    An interval join with state on both sides. A forecast leaves the state when no observation up to ``lateness`` before
+    the latest one can be in its window any more; an observation leaves it when no forecast with a window of up to
+    ``longest_window`` days can reach back to it. The state is bounded by open forecasts and recent days. Reports
+    that come later than ``lateness`` are left to the batch resolution with ``recheck``.
     """
-    slim = ["forecast_id", *SERIES, "window_start", "window_end"]
+    left = forecasts.select("forecast_id", *SERIES, F.col("window_start").cast("timestamp").alias("opens_at"),
+                            F.col("window_end").cast("timestamp").alias("closes_at")).withWatermark("closes_at", "0 days").alias("f")
+    right = obs.select(*SERIES, F.col("reported_date").cast("timestamp").alias("seen_at"), F.col("modal_price").alias("price")).withWatermark(
+        "seen_at", lateness).alias("o")
+    same = [F.col(f"f.{c}") == F.col(f"o.{c}") for c in SERIES]
+    return left.join(right, [*same, F.expr("o.seen_at >= f.opens_at"), F.expr("o.seen_at <= f.closes_at"),
+                             F.expr(f"f.closes_at <= o.seen_at + INTERVAL {int(longest_window)} DAYS")]).select(
+        "forecast_id", F.col("seen_at").cast("date").alias("day"), "price")
 
-    def match(batch: DataFrame) -> DataFrame:
-        open_ = ledger.filter("status <> 'EVALUATED'").select(*slim)
-        hits = outcome_match_join(open_, batch).filter("target_date IS NOT NULL").select(
-            "forecast_id", *SERIES, F.col("target_date").alias("day"), F.col("actual_price").alias("price"))
-        seen = batch.groupBy(*SERIES).agg(F.max("reported_date").alias("day")).select(
-            F.lit(None).cast("string").alias("forecast_id"), *SERIES, "day", F.lit(None).cast("double").alias("price"))
-        return hits.unionByName(seen)
-    return run_log(obs_stream, match, "maturity")
+
+def stream_outcome_maturity(forecasts: DataFrame, obs: DataFrame, outcomes: KeyedTable, progress: KeyedTable, checkpoint: str,
+                            **options) -> StreamingQuery:
+    """Read what is new of both streams into the two tables; called again, it goes on where it stopped.
+
+    Returns the finished query of the interval join. Both tables take their micro-batches under the batch's id.
+    """
+    query = merge_stream(window_hits(forecasts, obs, **options), outcomes, lambda b: b, f"{checkpoint}/hits")
+    merge_stream(obs.select(*SERIES, F.col("reported_date").alias("latest")), progress, lambda b: b, f"{checkpoint}/progress")
+    return query
 
 
-def apply_maturity(ledger: DataFrame, log: DataFrame) -> DataFrame:
-    """New ledger snapshot from the maturity log, by the rules of the batch resolution."""
+def apply_maturity(ledger: DataFrame, hits: DataFrame, progress: DataFrame) -> DataFrame:
+    """New ledger snapshot from the two tables, by the rules of the batch resolution."""
     ledger = K._with_outcome_columns(ledger)
-    hits = log.filter("forecast_id IS NOT NULL").groupBy("forecast_id").agg(F.min(F.struct("day", "price")).alias("h")).select(
-        "forecast_id", F.col("h.day").alias("_date"), F.col("h.price").alias("_price"))
-    latest = log.groupBy(*SERIES).agg(F.max("day").alias("_latest"))
-    rows = ledger.join(hits, "forecast_id", "left").join(latest, list(SERIES), "left")
+    rows = ledger.join(hits.select("forecast_id", F.col("day").alias("_date"), F.col("price").alias("_price")), "forecast_id", "left").join(
+        progress.select(*SERIES, F.col("latest").alias("_latest")), list(SERIES), "left")
     closed = F.coalesce(F.col("_latest") > F.col("window_end"), F.lit(False))
     return K._resolved(rows, ledger.columns, F.col("status") == "PENDING", closed, {
         "late": F.lit("late observation"), "match": F.lit("observation in window"),

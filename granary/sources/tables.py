@@ -73,7 +73,9 @@ def typed_observations(df: DataFrame) -> DataFrame:
     """Parse the text columns of canonical raw rows, each exactly once.
 
     The parsed values leave as one generated struct per row. Without that step
-    the optimizer copies the parsing expressions into every later filter.
+    the optimizer copies the parsing expressions into every later filter. The struct
+    itself is made one step before: a projection evaluates common parts once and is
+    compiled by pieces, a generator is not.
     """
     numbers = {"arrivals", "min_price", "max_price", "modal_price"}
     parsed = []
@@ -83,7 +85,7 @@ def typed_observations(df: DataFrame) -> DataFrame:
         elif c == "reported_date":
             parsed.append(parse_dates(F.col(c)).alias(c))
     names = {f"_parsed.{c}" for c in df.columns if c in numbers or c == "reported_date"}
-    rows = df.select("*", F.explode(F.array(F.struct(*parsed))).alias("_parsed"))
+    rows = df.select("*", F.struct(*parsed).alias("_made")).select("*", F.explode(F.array("_made")).alias("_parsed"))
     return rows.select(*[F.col(f"_parsed.{c}") if f"_parsed.{c}" in names else F.col(c) for c in df.columns])
 
 

@@ -323,24 +323,6 @@ def rolling_origin_evaluation(panel: DataFrame, val_years: Sequence[int], numeri
                       *[c.alias(n) for n, c in cols.items()])
 
 
-def tune_grid(train: DataFrame, val: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-              alphas: Sequence[float]) -> DataFrame:
-    """Validation metrics per ridge penalty on one prepared table; the smallest MAE is marked."""
-    prep = prep_pipeline(numeric, categorical).fit(train)
-    tr = materialize(prep.transform(train).select("features", "delta"), "tune-train")
-    va = materialize(prep.transform(val).select("features", "baseline", "yield_kg_ha"), "tune-val")
-    parts = []
-    for a in alphas:
-        scored = fit_delta_ridge(tr, "delta", a).transform(va)
-        m = M.regression_metrics(scored, "yield_kg_ha", F.col("baseline") + F.col("pred_delta"))
-        parts.append(m.withColumn("alpha", F.lit(float(a))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    best = out.agg(F.min_by("alpha", F.struct("mae", "alpha"))).scalar()
-    return out.withColumn("best", F.col("alpha") == best)
-
-
 def walk_forward_volatility(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[str, str, str, str]],
                             label: str, persistence: str, target_date: str, trees: int = 20) -> DataFrame:
     """Prediction rows of a classifier, raw and calibrated, and of the baselines, for every named fold.

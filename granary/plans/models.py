@@ -10,6 +10,7 @@ from granary.operators import metrics as M
 from granary.operators import models as J
 from granary.operators import panel as N
 from granary.operators import splits as S
+from granary.operators import tuning as G
 from granary.plans.labels import KEY, NEXT, P
 from granary.plans.metrics import (CLASSIFIED, PANEL_SCORED, RELIABILITY, SCORED, _PL, _POLICIES, classified, panel_scored, reg_sql,
                                    scored)
@@ -298,16 +299,62 @@ def j08(spark, folder):
 ALPHAS = (0.01, 0.1, 1.0, 5.0, 10.0, 20.0, 50.0, 80.0, 100.0, 150.0, 200.0, 300.0, 500.0)
 
 
+#: The validation period, then yearly expanding folds that confirm it: name, first and last validation year.
+RIDGE_FOLDS = (("validation", 2000, 2100), *((str(y), y, y) for y in (1997, 1998, 1999, 2000, 2001)))
+ABLATIONS = (None, "yield_lag2", "yield_hist_mean", "district")
+
+
+def _grid(spark, folder):
+    """Every fit of the grid, confirmed per year and with features left out, and each fold's error of persistence."""
+    df = materialize(_panel_deltas(spark, folder), "tuning-rows")
+    out = G.ridge_grid(df, J.YIELD_NUMERIC, ["district", "season"], "delta", "baseline", "yield_kg_ha", RIDGE_FOLDS, ALPHAS, ABLATIONS)
+    folds = F.array(*[F.struct(F.lit(n).alias("fold"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in RIDGE_FOLDS])
+    limit = df.select("*", F.explode(folds).alias("f")).filter(F.col("year").between(F.col("f.a"), F.col("f.b"))).groupBy(
+        F.col("f.fold").alias("fold")).agg(F.avg(F.abs(F.col("yield_kg_ha") - F.col("baseline"))).alias("persistence_mae"))
+    return out.join(limit, "fold")
+
+
+def _panel_deltas(spark, folder):
+    train, val = _split_panel(spark, folder)
+    return train.unionByName(val)
+
+
 @query("j10_tune_grid", f"""
-WITH {PANEL_FOLDS}
-SELECT unnest({list(ALPHAS)})::DOUBLE AS alpha, (SELECT count(*) FROM va) AS n, 1::BIGINT AS best_of_grid, true AS within_margin""")
+WITH {PANEL_FOLDS},
+f AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {a}, {b})" for n, a, b in RIDGE_FOLDS)}) f(fold, a, b)),
+m AS (SELECT fold, count(*) AS n, avg(abs(yield_kg_ha - l1)) AS persistence_mae FROM sp JOIN f ON year BETWEEN a AND b WHERE l1 IS NOT NULL GROUP BY fold)
+SELECT fold, dropped, alpha::DOUBLE AS alpha, n, 1::BIGINT AS best_of_fold, true AS within_margin,
+  ~persistence_mae AS persistence_mae
+FROM m, (SELECT unnest({list(ALPHAS)}) AS alpha), (SELECT unnest({[a or 'none' for a in ABLATIONS]}) AS dropped)""")
 def j10(spark, folder):
+    out = _grid(spark, folder)
+    best = F.count_if("best").over(Window.partitionBy("fold"))
+    return out.select("fold", "dropped", "alpha", "n", best.alias("best_of_fold"), "persistence_mae",
+                      (F.min("mae").over(Window.partitionBy("fold")) <= F.col("persistence_mae") * MARGIN).alias("within_margin"))
+
+
+_SUMMED = ("yield_lag1", "yield_lag2", "delta")
+
+
+@query("j10_year_sums", f"""
+WITH sp AS (SELECT *, {_PL(1)} AS yield_lag1, {_PL(2)} AS l2 FROM @panel@),
+x AS (SELECT year, yield_lag1, coalesce(l2, 0) AS yield_lag2, yield_kg_ha - yield_lag1 AS delta FROM sp WHERE yield_lag1 IS NOT NULL)
+{' UNION ALL '.join(f"SELECT year, '{a}' AS a, '{b}' AS b,{chr(10)}  ~sum({a} * {b}) / 1e9::DOUBLE AS value{chr(10)}FROM x GROUP BY year" for i, a in enumerate(_SUMMED) for b in _SUMMED[i:])}""")
+def j10s(spark, folder):
+    df = _panel_deltas(spark, folder)
+    design = G.design_of(df, J.YIELD_NUMERIC, [], "delta")
+    at = {**{c: i for i, c in enumerate(J.YIELD_NUMERIC)}, "delta": 2 * len(J.YIELD_NUMERIC) + 1}
+    pairs = F.create_map(*[F.lit(x) for i, a in enumerate(_SUMMED) for b in _SUMMED[i:] for x in (f"{at[a]},{at[b]}", f"{a},{b}")])
+    named = G.year_sums(df, design).select(F.col("year").cast("int").alias("year"), F.split(F.try_element_at(pairs, F.concat_ws(",", "i", "j")), ",").alias("p"), "value")
+    return named.filter("p IS NOT NULL").select("year", F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(1)).alias("b"), (F.col("value") / 1e9).alias("value"))
+
+
+@query("j10_tree_grid", """
+SELECT unnest([2, 3, 2, 3, 2, 3])::INTEGER AS depth, unnest([50, 50, 75, 75, 100, 100])::INTEGER AS trees, 1::BIGINT AS best_of_grid, true AS finite""")
+def j10t(spark, folder):
     train, val = _split_panel(spark, folder)
-    out = J.tune_grid(train, val, J.YIELD_NUMERIC, ["district", "season"], ALPHAS)
-    limit = val.agg(F.avg(F.abs(F.col("yield_kg_ha") - F.col("baseline"))) * MARGIN).scalar()
-    best = out.agg(F.count_if("best")).scalar()
-    least = out.agg(F.min("mae")).scalar()
-    return out.select("alpha", "n", best.alias("best_of_grid"), ((F.col("mae") <= limit) & (~F.col("best") | (F.col("mae") == least))).alias("within_margin"))
+    out = G.tree_grid(train, val, J.YIELD_NUMERIC, "delta", (2, 3), (0.05,), (50, 75, 100))
+    return out.select("depth", "trees", F.count_if("best").over(Window.partitionBy()).alias("best_of_grid"), F.col("mae").between(0, 1e9).alias("finite"))
 
 
 @query("j11_feature_importance", f"""

@@ -10,10 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from granary.functions.dates import annual_harmonics, calendar_parts
 from granary.functions.distributed import exact_quantiles
@@ -90,42 +88,89 @@ def accelerations_plain() -> Columns:
     return {"accel_1_7": c[1] - c[7], "accel_1_14": c[1] - c[14]}
 
 
-def trend_slope(ns: Sequence[int] = (7, 14, 30), col: str = PRICE) -> Columns:
-    """Least-squares slope over the last n rows including t, as a weighted sum of lags.
+def price_sums(df: DataFrame, col: str = PRICE) -> DataFrame:
+    """Running count, sum and position-weighted sum of a series, from which every slope is a difference of two rows.
 
-    The centred positions sum to 0, so the slope is sum(position * price) / sum(position^2).
+    Values are taken from the first one of the series, which keeps the sums small; whole-unit prices stay exact.
+    """
+    w = series_window()
+    out = add(df, {"_at": F.row_number().over(w), "_from_first": F.col(col) - F.first(col, ignorenulls=True).over(running(w))})
+    p = F.col("_from_first")
+    return add(out, {"_sum_0": F.count("_from_first").over(running(w)), "_sum_1": F.coalesce(F.sum(p).over(running(w)), F.lit(0.0)),
+                     "_sum_2": F.coalesce(F.sum(p * F.col("_at")).over(running(w)), F.lit(0.0))}).drop("_from_first")
+
+
+#: Helper columns of price_sums, dropped once the slopes are there.
+PRICE_SUMS = ("_at", "_sum_0", "_sum_1", "_sum_2")
+
+
+def trend_slope(ns: Sequence[int] = (7, 14, 30)) -> Columns:
+    """Least-squares slope over the last n rows including t; needs price_sums. NULL where a row or a value is missing.
+
+    The centred positions sum to 0, so the slope is sum(position * price) / sum(position^2), and both sums over a frame are
+    differences of running ones.
     """
     w = series_window()
     out = {}
     for n in ns:
-        centre = (n - 1) / 2
-        norm = sum((i - centre) ** 2 for i in range(n))
-        terms = [F.lag(col, n - 1 - i).over(w) * (i - centre) for i in range(n)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        out[f"trend_slope_{n}"] = total / norm
+        norm = n * (n * n - 1) / 12
+        count, total, weighted = (F.col(f"_sum_{i}") - F.coalesce(F.lag(f"_sum_{i}", n).over(w), F.lit(0)) for i in range(3))
+        out[f"trend_slope_{n}"] = F.when(count == n, (weighted - (F.col("_at") - (n - 1) / 2) * total) / norm)
     return out
 
 
+#: Weight below which an earlier row no longer moves a mean.
+LEAST_WEIGHT = 1e-19
+
+
 def ewma(df: DataFrame, specs: Sequence[tuple[str, str, int, bool]], keys: Sequence[str] = SERIES,
          date: str = "reported_date", missing_as_zero: bool = False) -> DataFrame:
     """Exponentially weighted means; specs are (output, input, span, adjust).
 
-    The recursion runs over one series at a time in Arrow batches. A series has
-    at most one row per day, and the input is already partitioned by series when
-    it comes from a series window, so no further exchange is needed.
+    Each row maps the mean before it to ``a * mean + b``. Maps compose to maps, so they are composed in blocks of 1, 2, 4, ...
+    rows, each block from two of half its size, until what lies before a block weighs less than ``LEAST_WEIGHT``: seven
+    steps for a span of 5, ten for 30, however long the series. Only lags are used, on the partitioning and order of
+    the series. Missing values keep the mean and weigh by the rows that went by, as usual: a block counts the rows
+    that have a value. Adjusted means are the quotient of two such sums over all rows.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(o, T.DoubleType()) for o, *_ in specs])
-
-    def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
-        for out, source, span, adjust in specs:
-            mean = pdf[source].astype("float64").ewm(span=span, adjust=adjust).mean()
-            pdf[out] = mean.fillna(0.0) if missing_as_zero else mean
-        return pdf
-
-    return df.groupBy(*keys).applyInPandas(one_series, schema)
+    w = series_window(keys, date)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    sources = list(dict.fromkeys(s for _, s, _, _ in specs))
+    x = {s: F.col(f"_x{i}") for i, s in enumerate(sources)}
+    out = add(df, {"_row": F.row_number().over(w)},
+              {f"_x{i}": F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")) for i, s in enumerate(sources)})
+    out = add(out, {f"_last{i}": F.last(F.when(x[s].isNotNull(), F.col("_row")), ignorenulls=True).over(before) for i, s in enumerate(sources)})
+    first: Columns = {}
+    for k, (_, source, span, adjust) in enumerate(specs):
+        q, last, v = 1 - 2 / (span + 1), F.col(f"_last{sources.index(source)}"), x[source]
+        if adjust:
+            first[f"_b{k}"], first[f"_d{k}"] = F.coalesce(v, F.lit(0.0)), F.when(v.isNull(), 0.0).otherwise(1.0)
+            continue
+        old = F.pow(F.lit(q), F.col("_row") - last)
+        first[f"_a{k}"] = F.when(v.isNotNull(), F.coalesce(old / (old + (1 - q)), F.lit(0.0)))
+        first[f"_b{k}"] = F.coalesce((1 - q) * v / (old + (1 - q)), v)
+    out = add(out, first)
+    order = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in keys)} ORDER BY `{date}`)"
+    earlier = lambda c, n: F.coalesce(F.expr(f"lag({c}, {n}) IGNORE NULLS {order}"), F.lit(0.0))
+    block = 1
+    while open_ := [k for k, (_, _, span, _) in enumerate(specs) if (1 - 2 / (span + 1)) ** block > LEAST_WEIGHT]:
+        step: Columns = {}
+        for k in open_:
+            _, _, span, adjust = specs[k]
+            factor = F.lit((1 - 2 / (span + 1)) ** block) if adjust else F.col(f"_a{k}")
+            for c in (f"_b{k}", *[f"_d{k}"] * adjust):
+                step[c] = F.col(c) + factor * earlier(c, block)
+            if not adjust:
+                step[f"_a{k}"] = factor * earlier(f"_a{k}", block)
+        out = add(out, step)
+        block *= 2
+    means: Columns = {}
+    for k, (name, source, _, adjust) in enumerate(specs):
+        last = F.col(f"_last{sources.index(source)}")
+        mean = (F.when(x[source].isNotNull() | last.isNotNull(), F.try_divide(F.col(f"_b{k}"), F.col(f"_d{k}"))) if adjust
+                else F.last(f"_b{k}", ignorenulls=True).over(running(w)))
+        means[name] = F.coalesce(mean, F.lit(0.0)) if missing_as_zero else mean
+    return out.select(*df.columns, *[c.alias(n) for n, c in means.items()])
 
 
 def level_ratios(ns: Sequence[int] = (7, 14), eps: float = 1e-4, z: str = "price_zscore",
@@ -433,19 +478,17 @@ def _streaks(df: DataFrame) -> DataFrame:
 def price_48(df: DataFrame, ewma_columns: bool = True) -> DataFrame:
     """core-20 plus momentum, slopes, EWMA, medians, gaps, z-scores, counts, streaks and last move."""
     base = df.columns
-    out = add(df, lag_features(), rolling_mean((7, 14, 30)), or_zero(rolling_std((7, 14))),
+    # the means come first, while rows are narrow
+    spans = (7, 14, 30) if ewma_columns else ()
+    out = ewma(df, [(f"ewma_{s}", PRICE, s, False) for s in spans]) if spans else df
+    out = add(price_sums(out), lag_features(), rolling_mean((7, 14, 30)), or_zero(rolling_std((7, 14))),
               _calendar(CALENDAR), arrival_features(), pct_changes(), trend_slope(),
               rolling_median((7, 14, 30), frame=trailing), row_numbers())
     out = add(out, differences((1, 7)), {"price_change_14": F.col(PRICE) - F.col("lag_14")},
               accelerations_plain(), level_ratios(eps=1e-5, z="zscore", with_ratio=False))
     out = add(out, move_flags(first_row_moves=True))
     out = _streaks(add(out, movement_counts(), last_nonzero_move()))
-    spans = (7, 14, 30) if ewma_columns else ()
-    keep = [c for c in PRICE_48 if not c.startswith("ewma_")]
-    out = out.select(*base, *keep)
-    if spans:
-        out = ewma(out, [(f"ewma_{s}", PRICE, s, False) for s in spans])
-    return out
+    return out.select(*base, *[c for c in PRICE_48 if not c.startswith("ewma_")], *[f"ewma_{s}" for s in spans])
 
 
 def candidate_v2(df: DataFrame, ewma_columns: bool = True) -> DataFrame:
@@ -453,8 +496,10 @@ def candidate_v2(df: DataFrame, ewma_columns: bool = True) -> DataFrame:
     base = df.columns
     w = series_window()
     lags = (1, 2, 3, 5, 7, 10, 14, 21, 30)
-    out = df.withColumn(ARRIVALS, F.greatest(F.coalesce(F.col(ARRIVALS), F.lit(0.0)), F.lit(0.0)))
-    out = add(out, lag_features(lags), rolling_mean((3, 5, 7, 14, 30)),
+    spans = (5, 7, 14, 30) if ewma_columns else ()
+    out = ewma(df, [(f"ewma_{s}", PRICE, s, False) for s in spans]) if spans else df
+    out = out.withColumn(ARRIVALS, F.greatest(F.coalesce(F.col(ARRIVALS), F.lit(0.0)), F.lit(0.0)))
+    out = add(price_sums(out), lag_features(lags), rolling_mean((3, 5, 7, 14, 30)),
               or_zero(rolling_std((5, 7, 14, 30))), rolling_median((7, 14)), rolling_min_max(7), trend_slope(),
               arrival_features((1, 3, 7), (7, 14)), or_zero(rolling_std((7,), ARRIVALS, "arrival_rolling_std")),
               pct_changes(), _calendar(("year", "month", "day_of_week", "week_of_year", "quarter")),
@@ -468,10 +513,8 @@ def candidate_v2(df: DataFrame, ewma_columns: bool = True) -> DataFrame:
         "rolling_range_7": spread, "rolling_pct_range_7": spread / (p + 1e-4) * 100,
         **{f"rolling_pct_std_{n}": F.col(f"rolling_std_{n}") / (p + 1e-4) * 100 for n in (7, 14, 30)},
         "price_to_rolling_mean_30": p / (F.col("rolling_mean_30") + 1e-4)})
-    out = out.drop("_rn", "_move", "_pos", "_neg", "_flat")
-    if ewma_columns:
-        out = ewma(out, [(f"ewma_{s}", PRICE, s, False) for s in (5, 7, 14, 30)])
-    return out
+    out = out.drop("_rn", "_move", "_pos", "_neg", "_flat", *PRICE_SUMS)
+    return out.select(*[c for c in out.columns if not c.startswith("ewma_")], *[f"ewma_{s}" for s in spans])
 
 
 def _volatility_set(df: DataFrame, names: Sequence[str], first_row_moves: bool, calendar: bool,

@@ -123,7 +123,7 @@ def d04(spark, folder):
 @query("d05_trend_slope", feature_sql(slopes((7, 14, 30)), "FROM n", f"WITH {NUMBERED}"))
 def d05(spark, folder):
     s = T.trend_slope()
-    return pick(T.add(obs(spark, folder), s), s)
+    return pick(T.add(T.price_sums(obs(spark, folder)), s), s)
 
 
 def recursive_ewma(source: str, cols):

@@ -1,6 +1,8 @@
 """Point-in-time features: look-ahead, determinism, plans and small cases with known answers."""
 
 import datetime as dt
+import math
+import random
 import re
 
 import pytest
@@ -64,7 +66,7 @@ def test_windows_need_all_values(spark):
 
 
 def test_slope_of_a_line(spark):
-    out = T.add(series(spark, [100 + 3 * i for i in range(35)]), T.trend_slope())
+    out = T.add(T.price_sums(series(spark, [100 + 3 * i for i in range(35)])), T.trend_slope())
     assert rows(out, "trend_slope_30")[-1][0] == pytest.approx(3.0)
     assert rows(out, "trend_slope_30")[28][0] is None
 
@@ -124,3 +126,39 @@ def test_thresholds_reject_sparse_data(spark):
     df = spark.createDataFrame([(0.0,)] * 50 + [(5.0,)] * 4, "r double")
     with pytest.raises(Exception, match="too few"):
         L.thresholds_quantile_or_zero_aware(df, "r").collect()
+
+
+def test_ewma_equals_pandas_with_gaps(spark):
+    import pandas as pd
+    draw = random.Random(3)
+    p = [draw.choice([None, None, float("nan"), 5.0, 2000.5, 0.0, 1e-3]) if i % 3 else 100 + 50 * math.sin(i / 9) for i in range(1200)]
+    p[:4] = [None, float("nan"), 7.0, None]
+    specs = [(f"e{s}{a}", "modal_price", s, a) for s in (5, 14, 30) for a in (True, False)]
+    df = series(spark, [0.0] * len(p)).drop("modal_price").join(spark.createDataFrame(
+        [(D0 + dt.timedelta(days=i), x) for i, x in enumerate(p)], "reported_date date, modal_price double"), "reported_date")
+    want = {n: pd.Series([float("nan") if x is None else x for x in p]).ewm(span=s, adjust=a).mean() for n, _, s, a in specs}
+
+    def check():
+        out = T.ewma(df, specs)
+        assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+        for n, *_ in specs:
+            got = [r[0] for r in rows(out, n)]
+            assert all((g is None) == (w != w) and (g is None or g == pytest.approx(w, rel=1e-10, abs=1e-12)) for g, w in zip(got, want[n], strict=True))
+    check()
+
+
+def test_slopes_need_whole_frames(spark):
+    p = [100.25 + (i * 7919 % 13) / 4 for i in range(60)]
+    p[20] = None
+    df = series(spark, [x or 0.0 for x in p])
+    df = df.withColumn("modal_price", F.when(F.col("reported_date") != D0 + dt.timedelta(days=20), F.col("modal_price")))
+    out = T.add(T.price_sums(df), T.trend_slope())
+    for n in (7, 14, 30):
+        got = [r[0] for r in rows(out, f"trend_slope_{n}")]
+        for t in range(60):
+            frame = p[t - n + 1:t + 1] if t >= n - 1 else [None]
+            if None in frame:
+                assert got[t] is None
+            else:
+                centre = (n - 1) / 2
+                assert got[t] == pytest.approx(sum((i - centre) * x for i, x in enumerate(frame)) / sum((i - centre) ** 2 for i in range(n)), abs=1e-9)

@@ -476,10 +476,40 @@ def _explode_values(df: DataFrame, name: str, values: Sequence[float]) -> DataFr
     return df.select("*", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name))
 
 
-def blend_search(df: DataFrame, y: str, current: str, change: str, steps: int = 20) -> DataFrame:
-    """Metrics of current + alpha * change for alpha = 0..1, with the smallest MAE marked."""
-    rows = _explode_values(df, "alpha", [i / steps for i in range(steps + 1)])
-    m = regression_metrics(rows, y, F.col(current) + F.col("alpha") * F.col(change), ["alpha"])
+def blend_search(df: DataFrame, y: str, current: str, change: str, steps: int = 20, tolerance: float = TOLERANCE) -> DataFrame:
+    """Metrics of current + alpha * change for alpha = 0..1, with the smallest MAE marked.
+
+    The absolute error of a row is linear in alpha on both sides of the point where it turns. Rows are summed once, by
+    the number of grid points before their turn; an alpha's sum is that of the rows which have not turned minus
+    that of the others. Squares need three sums. The shuffle holds one row per turning place, whatever the grid.
+    """
+    r, d = F.col(y) - F.col(current), F.col(change)
+    turn = F.try_divide(r, d)
+    rows = df.filter(F.col(y).isNotNull() & F.col(current).isNotNull() & d.isNotNull()).select(
+        F.col(y).alias("y"), F.col(current).alias("c"), d.alias("d"), r.alias("r"),
+        F.when(d == 0, F.signum(r)).when(turn <= 0, -F.signum(d)).otherwise(F.signum(r)).alias("side"),
+        F.when((d != 0) & (turn > 0), F.least(F.floor(turn * steps) + 1, F.lit(steps + 1))).otherwise(steps + 1).alias("turns"))
+    sums = {"n": F.count("*"), "mean": F.avg("y"), "var": F.var_pop("y"), "r": F.sum(F.col("side") * F.col("r")), "d": F.sum(F.col("side") * F.col("d")),
+            "rr": F.sum(F.col("r") * F.col("r")), "rd": F.sum(F.col("r") * F.col("d")), "dd": F.sum(F.col("d") * F.col("d")),
+            "pn": F.count_if(F.col("y") != 0), "pr": F.sum(F.when(F.col("y") != 0, F.col("side") * F.col("r") / F.abs("y"))),
+            "pd": F.sum(F.when(F.col("y") != 0, F.col("side") * F.col("d") / F.abs("y")))}
+    close = {f"w{i}": F.count_if(F.abs(F.col("y") - (F.col("c") + F.lit(i / steps) * F.col("d"))) <= tolerance) for i in range(steps + 1)}
+    held = rows.groupBy("turns").agg(*[e.alias(k) for k, e in (sums | close).items()])
+    # from here on there are steps + 2 rows at most
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i / steps).alias("alpha"), F.col(f"w{i}").alias("close")) for i in range(steps + 1)]))
+    cells = held.select(*sums, "turns", grid.alias("g")).select("*", F.when(F.col("g.i") < F.col("turns"), 1.0).otherwise(-1.0).alias("sign"))
+    a, zero = F.col("g.alpha"), F.lit(0.0)
+    part = cells.groupBy(a.alias("alpha")).agg(
+        F.sum("n").alias("n"), F.sum(F.col("sign") * (F.col("r") - a * F.col("d"))).alias("abs"),
+        F.sum(F.coalesce(F.col("sign") * (F.col("pr") - a * F.col("pd")), zero)).alias("pct"), F.sum("pn").alias("pn"), F.sum("g.close").alias("close"),
+        F.sum(F.col("rr") - 2 * a * F.col("rd") + a * a * F.col("dd")).alias("sse"), F.sum(F.col("n") * F.col("mean")).alias("sy"),
+        F.sum(F.col("n") * F.col("var")).alias("inner"), F.collect_list(F.struct("n", "mean")).alias("groups"))
+    n, mean = F.col("n"), F.col("sy") / F.col("n")
+    sst = F.col("inner") + F.aggregate("groups", zero, lambda t, g: t + g["n"] * (g["mean"] - mean) * (g["mean"] - mean))
+    sse = F.greatest(F.col("sse"), zero)
+    mape = F.try_divide(F.col("pct"), F.col("pn")) * 100
+    m = part.select("alpha", "n", (F.col("abs") / n).alias("mae"), F.sqrt(sse / n).alias("rmse"), F.when((n >= 2) & (sst > 0), 1 - sse / sst).alias("r2"),
+                    mape.alias("mape"), (100 - mape).alias("mape_accuracy"), (F.col("close") / n * 100).alias("within_tolerance_pct"))
     best = m.agg(F.min_by("alpha", F.struct("mae", "alpha"))).scalar()
     return m.withColumn("best", F.col("alpha") == best)
 
@@ -497,12 +527,40 @@ def multiplier_values(low: float = 0.8, high: float = 3.5, n: int = 12) -> list[
 
 def threshold_multiplier_grid(df: DataFrame, y: str, probs: Sequence[str] = PROBS,
                               values: Sequence[float] | None = None) -> DataFrame:
-    """Macro-F1 and HIGH recall when MEDIUM and HIGH probabilities are multiplied."""
-    values = list(values or multiplier_values())
-    rows = _explode_values(_explode_values(df.select(y, *probs), "w_med", values), "w_high", values)
-    a, b, c = F.col(probs[0]), F.col(probs[1]) * F.col("w_med"), F.col(probs[2]) * F.col("w_high")
-    label = F.when((a >= b) & (a >= c), CLASSES[0]).when(b >= c, CLASSES[1]).otherwise(CLASSES[2])
-    wide = rows.groupBy("w_med", "w_high").agg(*[e.alias(k) for k, e in confusion_counts(y, label).items()])
+    """Macro-F1 and HIGH recall when MEDIUM and HIGH probabilities are multiplied.
+
+    A row's labels over the whole grid follow from three places: how many MEDIUM factors leave LOW ahead, how many HIGH
+    factors do, and how many cells, in the order of their factors' ratio, put MEDIUM before HIGH. Rows are counted
+    once by these places and the label, so what is shuffled does not depend on the grid or the number of rows; the
+    counts are laid over the cells afterwards.
+    """
+    values = sorted(values or multiplier_values())
+    low, med, high = (F.col(p) for p in probs)
+    order = {cell: place for place, cell in enumerate(sorted(
+        ((i, j) for i in range(len(values)) for j in range(len(values))), key=lambda c: values[c[1]] / values[c[0]]))}
+
+    def places(rows: DataFrame, name: str, x: Column, y: Column, edges: Sequence[float]) -> DataFrame:
+        """How many of the rising edges e have x >= y * e, by halving; one small projection per step."""
+        table = F.array(*[F.lit(float(e)) for e in edges])
+        rows, step = rows.withColumn(name, F.lit(0)), 1 << (len(edges).bit_length() - 1)
+        while step:
+            at = F.col(name) + (step - 1)
+            rows = rows.withColumn(name, F.col(name) + F.when((at < len(edges)) & (x >= y * F.get(table, at)), step).otherwise(0))
+            step //= 2
+        return rows
+    rows = df.select(F.col(y).alias("y"), low.alias("low"), med.alias("med"), high.alias("high"))
+    low, med, high = F.col("low"), F.col("med"), F.col("high")
+    for name, a, b, edges in (("beats_med", low, med, values), ("beats_high", low, high, values), ("med_first", med, high, [values[j] / values[i] for i, j in order])):
+        rows = places(rows, name, a, b, edges)
+    counted = rows.groupBy("y", "beats_med", "beats_high", "med_first").agg(F.count("*").alias("rows"))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(values[i]).alias("w_med"), F.lit(values[j]).alias("w_high"),
+                                         F.lit(place).alias("place")) for (i, j), place in order.items()]))
+    laid = counted.select("*", cells.alias("g"))
+    label = F.when((F.col("g.i") < F.col("beats_med")) & (F.col("g.j") < F.col("beats_high")), CLASSES[0]).when(
+        F.col("g.place") < F.col("med_first"), CLASSES[1]).otherwise(CLASSES[2])
+    table = {f"c{i}{j}": F.coalesce(F.sum(F.when((F.col("y") == a) & (label == b), F.col("rows"))), F.lit(0))
+             for i, a in enumerate(CLASSES) for j, b in enumerate(CLASSES)}
+    wide = laid.groupBy(F.col("g.w_med").alias("w_med"), F.col("g.w_high").alias("w_high")).agg(*[e.alias(k) for k, e in table.items()])
     m = classification_exprs()
     return wide.select("w_med", "w_high", m["macro_f1"].alias("macro_f1"), m["high_recall"].alias("high_recall"))
 

@@ -151,7 +151,8 @@ def ewma(df: DataFrame, specs: Sequence[tuple[str, str, int, bool]], keys: Seque
         first[f"_b{k}"] = F.coalesce((1 - q) * v / (old + (1 - q)), v)
     out = add(out, first)
     order = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in keys)} ORDER BY `{date}`)"
-    earlier = lambda c, n: F.coalesce(F.expr(f"lag({c}, {n}) IGNORE NULLS {order}"), F.lit(0.0))
+    # only unadjusted columns are missing where their value is; the plain lag is the faster one
+    earlier = lambda c, n, whole: F.coalesce(F.lag(c, n).over(w) if whole else F.expr(f"lag({c}, {n}) IGNORE NULLS {order}"), F.lit(0.0))
     block = 1
     while open_ := [k for k, (_, _, span, _) in enumerate(specs) if (1 - 2 / (span + 1)) ** block > LEAST_WEIGHT]:
         step: Columns = {}
@@ -159,9 +160,9 @@ def ewma(df: DataFrame, specs: Sequence[tuple[str, str, int, bool]], keys: Seque
             _, _, span, adjust = specs[k]
             factor = F.lit((1 - 2 / (span + 1)) ** block) if adjust else F.col(f"_a{k}")
             for c in (f"_b{k}", *[f"_d{k}"] * adjust):
-                step[c] = F.col(c) + factor * earlier(c, block)
+                step[c] = F.col(c) + factor * earlier(c, block, adjust)
             if not adjust:
-                step[f"_a{k}"] = factor * earlier(f"_a{k}", block)
+                step[f"_a{k}"] = factor * earlier(f"_a{k}", block, adjust)
         out = add(out, step)
         block *= 2
     means: Columns = {}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.models import SEED, assemble
-from granary.session import materialize
+from granary.session import in_arrow, materialize
 
 
 class Design:
@@ -65,7 +65,7 @@ def year_sums(rows: DataFrame, design: Design, year: str = "year") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(i), y)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(sums[i, j])], ["year", "i", "j", "value"])
     usable = rows.filter(F.col(design.label).isNotNull() & F.col(year).isNotNull()).select(F.col(year).cast("long").alias(year), *design.columns())
-    return usable.mapInArrow(stage, "year bigint, i int, j int, value double").groupBy("year", "i", "j").agg(F.sum("value").alias("value"))
+    return in_arrow(usable, stage, "year bigint, i int, j int, value double").groupBy("year", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def fold_medians(rows: DataFrame, design: Design, firsts: Sequence[int], year: str = "year") -> dict[int, np.ndarray]:
@@ -153,7 +153,7 @@ def ridge_grid(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[st
                                              ["fold", "model", "n", "a", "s", "b", "y", "yy"])
     usable = rows.filter(F.col(actual).isNotNull() & F.col(baseline).isNotNull()).select(
         *dict.fromkeys([*design.columns(), baseline, actual]), year)
-    sums = usable.mapInArrow(stage, "fold string, model int, n double, a double, s double, b double, y double, yy double").groupBy("fold", "model").agg(
+    sums = in_arrow(usable, stage, "fold string, model int, n double, a double, s double, b double, y double, yy double").groupBy("fold", "model").agg(
         *[F.sum(c).alias(c) for c in ("n", "a", "s", "b", "y", "yy")]).filter("n > 0")
     names = spark.createDataFrame([(i, a or "none", float(x)) for i, (a, x) in enumerate(models)], "model int, dropped string, alpha double")
     n = F.col("n")

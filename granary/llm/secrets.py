@@ -3,17 +3,18 @@
 Candidates are runs of at least ``LEAST`` characters of the base64, hex and identifier alphabets, with or without digits;
 after a secret word or an assignment to one, runs of ``SHORT`` or more of any signs that are no blanks (up to the quote if it is
 quoted); after any other assignment such runs up to the next separator. The forest decides, not the expression. The
-text is cut at its candidates, so each knows what stands before and behind it. Features: length, share and kind of
+text is cut at its candidates by one pass of the expression, so each knows what stands before and behind it. Features: length, share and kind of
 characters and the transitions between kinds, variety of characters, coverage by the corpus's own dictionary, whether it
 is part of a path, address or number, and the words next to it. A random forest trained from labelled findings removes
-false positives; findings it keeps are reported, and ``redacted`` replaces their values in the text.
+false positives; findings it keeps are reported, and ``redacted`` replaces them at their places in the text.
 
 There is no table of labelled secrets, so ``labelled_findings`` makes one: templates filled with digests as secrets or
 as look-alikes (checksums, commits, identifiers, numbers, addresses, words), a fixed number of rows. It is a parameter of the scan.
 
 The dictionary holds the corpus's alphabetic words, counted over all documents. Null and empty texts have no candidates.
-Repeated rows are scanned each; rows with a null id are scanned too. Other columns are not looked at and pass through
-``redacted``. An empty table gives no findings.
+Repeated rows are scanned each; rows with a null id are scanned too. What is found depends on the text alone, so ``redacted``
+keys it by the id and the digest of the text: rows that share an id, or have none, do not touch each other's texts. Other
+columns are not looked at and pass through ``redacted``. An empty table gives no findings.
 """
 
 from __future__ import annotations
@@ -58,26 +59,31 @@ CANDIDATE = "|".join((
     rf"|(?:(?<=[=:])|(?<=[=:]{_BLANK})|(?<=[=:]{_QUOTE})|(?<=[=:]{_BLANK}{_QUOTE})){_VALUE}[^\x00-\x20\"'&,;:=<>(){{}}\[\]]{{{SHORT},}}+={{0,2}})",
     rf"(?<!{_CHARS}){_CHARS}{{{LEAST},}}+={{0,2}}"))
 CONTEXT = 40
+#: The mark put around candidates, and what stands for it where the text has it.
+CUT, INSTEAD = "\x01", "\x02"
 FEATURES = ("length", "lower_share", "upper_share", "digit_share", "transitions", "variety", "entropy", "longest_letters",
             "is_hex", "is_number", "dictionary", "path", "address", "assigned", "quoted", "secret_near", "plain_near", "named", "equals", "signs")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, nth, start (characters before it), value, before, after: one row per candidate of (doc_id, text)."""
-    between, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    cut = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)).select(
-        "doc_id", between.alias("between"), found.alias("found"))
+def candidates(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, columns to keep, nth, start (characters before it), value, before, after: one row per candidate of (doc_id, text)."""
+    # no candidate holds a control character, so one of them can mark where candidates begin and end; the text's own become another
+    marked = F.regexp_replace(F.translate("text", CUT, INSTEAD), CANDIDATE, f"{CUT}$0{CUT}")
+    cut = docs.select("doc_id", *keep, F.split(marked, CUT, -1).alias("pieces"))
+    piece = lambda i: F.get("pieces", i)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(state: Column, i: Column) -> Column:
-        place = state["at"] + F.char_length(F.get("between", i))
-        return F.struct((place + F.char_length(F.get("found", i))).alias("at"), F.array_append(state["out"], place).alias("out"))
-    starts = F.aggregate(F.sequence(F.lit(0), F.size("found") - 1), begin, step, lambda s: s["out"])
-    one = F.explode(F.zip_with(F.sequence(F.lit(0), F.size("found") - 1), starts, lambda i, at: F.struct(
-        i.alias("nth"), at.alias("start"), F.get("found", i).alias("value"),
-        F.substring(F.get("between", i), -CONTEXT, CONTEXT).alias("before"),
-        F.substring(F.get("between", i + 1), 1, CONTEXT).alias("after"))))
-    return cut.select("doc_id", one.alias("c")).select("doc_id", "c.*")
+        place = state["at"] + F.char_length(piece(2 * i))
+        return F.struct((place + F.char_length(piece(2 * i + 1))).alias("at"), F.array_append(state["out"], place).alias("out"))
+    found = F.floor((F.size("pieces") - 1) / 2).cast("int")
+    number = F.when(found > 0, F.sequence(F.lit(0), found - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.aggregate(number, begin, step, lambda s: s["out"])
+    one = F.explode(F.zip_with(number, starts, lambda i, at: F.struct(
+        i.alias("nth"), at.alias("start"), piece(2 * i + 1).alias("value"),
+        F.substring(piece(2 * i), -CONTEXT, CONTEXT).alias("before"),
+        F.substring(piece(2 * i + 2), 1, CONTEXT).alias("after"))))
+    return cut.select("doc_id", *keep, one.alias("c")).select("doc_id", *keep, "c.*")
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -172,27 +178,42 @@ def train(findings: DataFrame, words: DataFrame) -> RandomForestClassificationMo
     return RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(data)
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """doc_id, nth, start, value, score, is_secret: all candidates of the documents, scored."""
+def scan(docs: DataFrame, findings: DataFrame | None = None, *keep: str) -> DataFrame:
+    """doc_id, columns to keep, nth, start, value, score, is_secret: all candidates of the documents, scored."""
     spark = docs.sparkSession
     words = saved(dictionary(docs), "dictionary")
     model = train(labelled_findings(spark) if findings is None else findings, words)
-    rows = features(saved(candidates(docs), "candidates"), words)
+    rows = features(saved(candidates(docs, *keep), "candidates"), words)
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
     score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "nth", "start", "value", score.alias("score"), (score >= 0.5).cast("int").alias("is_secret"))
+    return scored.select("doc_id", *keep, "nth", "start", "value", score.alias("score"), (score >= 0.5).cast("int").alias("is_secret"))
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """All columns of the documents; values found to be secrets are replaced in the text, and n_chars follows if there.
+    """All columns of the documents; secrets are replaced in the text at their places, and n_chars follows if there.
 
-    A value found in one place of a document is replaced in every place of it.
+    Candidates of one text whose value is that of a secret found in it are replaced as well; parts of other words never are.
     """
-    id_name, values = fresh(docs, "id_of_finding", "secret_values")
-    bad = scan(docs, findings).where("is_secret = 1").groupBy(F.col("doc_id").alias(id_name)).agg(
-        F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias(values))
-    text = F.aggregate(F.coalesce(F.col(values), F.array().cast("array<string>")), F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))
-    rows = docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_name)), "left").withColumn("text", text)
+    id_name, key_name, places, own = fresh(docs, "id_of_finding", "text_of_finding", "secret_places", "text_key")
+    texts = docs.select("doc_id", "text", F.sha2("text", 256).alias("text_key"))
+    found = scan(texts, findings, "text_key")
+    # copies of a row repeat its places; sets are combined before the shuffle
+    by_value = found.groupBy("doc_id", "text_key", "value").agg(
+        F.max("is_secret").alias("is_secret"), F.collect_set("start").alias("starts"))
+    bad = by_value.where("is_secret = 1").select("doc_id", "text_key", F.transform("starts", lambda at: F.struct(
+        at.alias("start"), F.char_length("value").alias("length"))).alias("found")).groupBy(
+        F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name)).agg(
+        F.array_sort(F.flatten(F.collect_list("found"))).alias(places))
+
+    def step(state: Column, place: Column) -> Column:
+        clean = F.substring(F.col("text"), state["at"] + 1, place["start"] - state["at"])
+        return F.struct((place["start"] + place["length"]).alias("at"), F.array_append(state["out"], F.concat(clean, F.lit(MASK))).alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    masked = F.aggregate(places, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(
+        F.col("text"), s["at"] + 1, F.char_length("text"))))
+    rows = docs.withColumn(own, F.sha2("text", 256)).join(
+        bad, F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.col(own) == F.col(key_name)), "left")
+    rows = rows.withColumn("text", F.when(F.col(places).isNull(), F.col("text")).otherwise(masked))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col(values).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col(places).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

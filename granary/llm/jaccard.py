@@ -182,14 +182,39 @@ def _least_shared(x: int, y: int, p: int, q: int) -> int:
     return max(1, least)
 
 
-def _enough_shared(pairs: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b, x, y, shared) to those pairs (a, b) that share as many signatures as linked sets do."""
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "shared")), strict=True)
-            good = pa.array([shared >= _least_shared(x, y, p, q) for x, y, shared in numbers], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
-    return in_arrow(pairs, stage, "a bigint, b bigint")
+def _least_shared_column(x: str, y: str, p: int, q: int) -> Column:
+    """``_least_shared`` of two rows with the columns size and row_band, for sets whose sizes may link.
+
+    The larger set's band serves the pair, and the next one too where both are of one band and both sign for the next.
+    """
+    low = F.when(F.col(f"{x}.size") <= F.col(f"{y}.size"), F.col(f"{x}.row_band")).otherwise(F.col(f"{y}.row_band"))
+    high = F.when(F.col(f"{x}.size") <= F.col(f"{y}.size"), F.col(f"{y}.row_band")).otherwise(F.col(f"{x}.row_band"))
+    differ = F.floor((F.col(f"{x}.size") + F.col(f"{y}.size")) * (q - p) / (q + p))
+
+    def of(room: Column) -> Column:
+        return F.when(room < 0, 0).when(room == 0, 1).otherwise(F.greatest(room - differ, F.lit(1)))
+    both = (low["band"] == high["band"]) & low["signs_next"]
+    return F.greatest(of(high["room"]) + F.when(both, of(high["next_room"])).otherwise(0), F.lit(1))
+
+
+def _bands_of_sizes(classes: DataFrame, p: int, q: int) -> DataFrame:
+    """The classes and row_band: the band of the size, whether such a set signs for the next, and the room of both scopes.
+
+    The room is the number of cells less the spare ones, 0 where cells are enumerated three by three, -1 where none are.
+    A table of some hundred bands, whatever the input.
+    """
+    starts = bands(p, q)
+
+    def room(band: int) -> int:
+        cells, per_part, spare = scope(band, p, q)
+        return (cells - spare if per_part == 2 else 0) if cells else -1
+    of = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(starts[b]).cast("long").alias("first"), F.lit(starts[b + 1]).cast("long").alias("end"),
+                            F.lit(room(b)).cast("long").alias("room"), F.lit(room(b + 1)).cast("long").alias("next_room"))
+                   for b in range(len(starts) - 2)))
+    own = F.get(F.filter(of, lambda s: (s["first"] <= F.col("size")) & (F.col("size") < s["end"])), F.lit(0))
+    rows = classes.withColumn("_band", own)
+    return rows.withColumn("row_band", F.struct(F.col("_band.band").alias("band"), F.col("_band.room").alias("room"), F.col("_band.next_room").alias("next_room"),
+                                                (F.floor(F.col("size") * q / p) >= F.col("_band.end")).alias("signs_next"))).drop("_band")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p: int, q: int) -> DataFrame:
@@ -255,13 +280,15 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
 
     rooted = buckets.join(roots, F.col("number") == F.col("node"), "left").select(
         "sign", "number", F.coalesce("root", "number").alias("root")).repartition("sign")
+    banded = saved(_bands_of_sizes(classes.select("number", "size", "parity"), p, q), "banded")
     mixed = rooted.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high")).where("low <> high")
-    open_rows = saved(mixed.select("sign", "number", "root").join(classes.select("number", "size", "parity"), "number"), "open")
+    open_rows = saved(mixed.select("sign", "number", "root").join(banded, "number"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
+    # the least number that linked sets share comes with the pair, so pairs are counted and dropped without leaving the JVM
     second = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.number") < F.col("y.number"))
                     & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", p, q)).select(
-        F.col("x.number").alias("a"), F.col("y.number").alias("b"), F.col("x.size").alias("x"), F.col("y.size").alias("y"))
-    second = _enough_shared(second.groupBy("a", "b", "x", "y").agg(F.count("*").alias("shared")), p, q)
+        F.col("x.number").alias("a"), F.col("y.number").alias("b"), _least_shared_column("x", "y", p, q).alias("least"))
+    second = second.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = saved(second.join(tried, ["a", "b"], "left_anti"), "pairs")
     discard(open_rows, buckets)

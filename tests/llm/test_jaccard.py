@@ -83,6 +83,17 @@ def test_linked_sets_share_a_signature():
                     assert shared >= jaccard._least_shared(len(x), len(y), p, q) >= 1
 
 
+def test_least_shared_as_a_column(spark):
+    from pyspark.sql import functions as F
+    sizes = [*range(1, 45), 66, 67, 68, 80, 99, 100, 131, 800, 999, 1000, 1249, 20_000]
+    for p, q in ((85, 100), (80, 100), (60, 100)):
+        rows = spark.createDataFrame([(n,) for n in sizes], "size long")
+        rows = jaccard._bands_of_sizes(rows, p, q)
+        pairs = rows.alias("x").join(rows.alias("y"), (F.least("x.size", "y.size") * q >= F.greatest("x.size", "y.size") * p))
+        got = pairs.select("x.size", "y.size", jaccard._least_shared_column("x", "y", p, q).alias("least")).collect()
+        assert len(got) > len(sizes) and all(least == jaccard._least_shared(x, y, p, q) for x, y, least in got)
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(50)] + [(draw.randrange(200, 400), draw.randrange(200, 400)) for _ in range(150)]

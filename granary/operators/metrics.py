@@ -316,19 +316,39 @@ def tier_summary(markets: DataFrame) -> DataFrame:
 ERROR_REPLICATES, DELTA_REPLICATES = 10_000, 2_000
 
 
+#: Clusters whose sums one row holds, and parts into which the replicates are cut.
+CLUSTER_BLOCK, REPLICATE_PARTS = 4096, 32
+
+
 def bootstrap_replicates(clusters: DataFrame, order: str, sums: Sequence[str], reps: int, seed: str = "42") -> DataFrame:
     """Per replicate the sums over as many clusters as there are, drawn with replacement.
 
     ``clusters`` holds one pre-aggregated row per cluster. Draw j of replicate r
-    takes cluster md5(seed|r|j) mod k, so every engine draws alike.
+    takes cluster md5(seed|r|j) mod k, so every engine draws alike. The sums travel as arrays over blocks of
+    clusters, once per part of the replicates; a task adds up the draws that fall into its block, so no row is
+    made or shuffled per draw. Missing sums count as 0.
     """
-    k = clusters.agg(F.count("*")).scalar()
     # numbering needs one row per cluster only
-    numbered = clusters.select(*sums, (F.row_number().over(Window.orderBy(order)) - 1).alias("idx"))
-    draws = numbered.select(F.col("idx").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    digest = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep"), F.col("draw"))), 1, 8)
-    picked = draws.select("rep", (F.conv(digest, 16, 10).cast("long") % k).cast("int").alias("idx"))
-    return picked.join(numbered, "idx").groupBy("rep").agg(*[F.sum(s).alias(s) for s in sums])
+    by = Window.orderBy(order)
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = clusters.select(*[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in sums],
+                               (F.row_number().over(by) - 1).alias("idx"), F.count("*").over(whole).alias("k"))
+    blocks = numbered.groupBy((F.col("idx") / CLUSTER_BLOCK).cast("int").alias("block"), "k").agg(
+        F.sort_array(F.collect_list(F.struct("idx", *sums))).alias("held"))
+    parts = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(REPLICATE_PARTS - 1))).alias("part")).repartition(
+        REPLICATE_PARTS, "part")
+    mine = F.filter(F.sequence(F.lit(1), F.lit(reps)), lambda r: r % REPLICATE_PARTS == F.col("part"))
+    rows = parts.select("block", "k", "held", F.explode(mine).alias("rep"))
+
+    def step(state: Column, j: Column) -> Column:
+        digest = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep"), j)), 1, 8)
+        # an index outside of this block has no place in its array
+        at = F.conv(digest, 16, 10).cast("long") % F.col("k") - F.col("block") * CLUSTER_BLOCK
+        got = F.when(at >= 0, F.get("held", at.cast("int")))
+        return F.struct(*[(state[s] + F.coalesce(got[s], F.lit(0.0))).alias(s) for s in sums])
+    start = F.struct(*[F.lit(0.0).alias(s) for s in sums])
+    drawn = rows.select("rep", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), start, step).alias("of"))
+    return drawn.groupBy("rep").agg(*[F.sum(f"of.{s}").alias(s) for s in sums])
 
 
 def clustered_bootstrap(df: DataFrame, cluster: str, base_error: str, model_error: str, reps: int = ERROR_REPLICATES,

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from granary.operators import metrics as M
 from granary.operators import models as J
 from granary.operators import tuning as G
 from granary.session import materialize
@@ -78,3 +79,18 @@ def test_sums_do_not_shuffle_rows(rows):
     assert sums.count() == 10 * per_year
     with pytest.raises(ValueError, match="no rows before"):
         G.ridge_fits(rows, design, [("first", 1990, 1990)], [1.0])
+
+
+def test_bootstrap_draws_equal_a_plain_loop(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(M, "CLUSTER_BLOCK", 4)
+    values = [(f"c{i:02d}", float(i), None if i == 3 else float(i * i % 7)) for i in range(11)]
+    frame = spark.createDataFrame(values, "cluster string, b double, m double")
+    got = {r.rep: (r.b, r.m) for r in M.bootstrap_replicates(frame, "cluster", ["b", "m"], 70, "s").collect()}
+    want = {}
+    for rep in range(1, 71):
+        picked = [int(hashlib.md5(f"s|{rep}|{j}".encode()).hexdigest()[:8], 16) % 11 for j in range(11)]
+        want[rep] = (sum(values[i][1] for i in picked), sum(values[i][2] or 0.0 for i in picked))
+    assert got == want
+    assert M.bootstrap_replicates(frame.limit(0), "cluster", ["b", "m"], 5).count() == 0

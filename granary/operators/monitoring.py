@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions.distributed import exact_quantiles, row_scalar
+from granary.functions.distributed import exact_quantiles, row_scalar, running_by_value
 from granary.operators import cleaning as C
 from granary.operators import ledger as K
 from granary.operators.upserts import upsert_keep_first, upsert_last_wins
@@ -108,10 +108,11 @@ def drift_group_aware(batch: DataFrame, overall: DataFrame, varieties: DataFrame
 
 
 def service_health_rollup(events: DataFrame, by: str = "service", keep: int = 1000) -> DataFrame:
-    """Success and error rates and index-based latency percentiles of the last successful calls.
+    """Success and error rates, index-based latency percentiles of the last ``keep`` successful calls and of all of them.
 
     ``row_number() <= keep`` is applied per input task before the shuffle (window
-    group limit), so a busy service sends at most ``keep`` rows per task.
+    group limit), so a busy service sends at most ``keep`` rows per task. The percentiles of the whole
+    period are exact, from running counts over buckets of latencies.
     """
     w = Window.partitionBy(by).orderBy(F.col("ts").desc(), F.col("event_id").desc())
     last = (events.filter("ok").select(by, "latency", "ts", "event_id", F.row_number().over(w).alias("rn"))
@@ -121,15 +122,23 @@ def service_health_rollup(events: DataFrame, by: str = "service", keep: int = 10
     lat = sorted_.select(by, F.element_at("a", (F.floor(n * 0.5) + 1).cast("int")).alias("p50"),
                          F.element_at("a", (F.least(F.floor(n * 0.95), n - 1) + 1).cast("int")).alias("p95"),
                          n.alias("latencies"))
+    ranked = running_by_value(events.filter("ok").filter(F.col(by).isNotNull()), "latency", {"m": F.lit(1)}, [by])
+    total = F.col("m_total")
+    hit = lambda rank: F.max(F.when((F.col("m_before") <= rank) & (rank < F.col("m_before") + F.col("m")), F.col("latency")))
+    period = ranked.groupBy(by).agg(
+        hit(F.floor(total * 0.5)).alias("p50_period"), hit(F.least(F.floor(total * 0.95), total - 1)).alias("p95_period"),
+        F.max(total).alias("latencies_period"))
     rates = events.groupBy(by).agg(
         F.count("*").alias("total"), F.count_if(~F.col("ok")).alias("errors"),
         F.count_if("is_ingest").alias("ingestions"), F.count_if(F.col("is_ingest") & F.col("ok")).alias("ingestions_ok"))
     err = F.coalesce(F.try_divide(F.col("errors"), F.col("total")) * 100, F.lit(0.0))
-    return rates.join(lat, by, "left").select(
+    return rates.join(lat, by, "left").join(period, by, "left").select(
         by, "total", "errors", err.alias("error_rate_pct"),
         F.coalesce(F.try_divide(F.col("ingestions_ok"), F.col("ingestions")) * 100, F.lit(100.0)).alias("ingestion_success_pct"),
         F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p95", F.lit(0.0)).alias("p95"),
         F.coalesce("latencies", F.lit(0)).alias("latencies"),
+        F.coalesce("p50_period", F.lit(0.0)).alias("p50_period"), F.coalesce("p95_period", F.lit(0.0)).alias("p95_period"),
+        F.coalesce("latencies_period", F.lit(0)).cast("long").alias("latencies_period"),
         F.when(err > 20, "degraded").otherwise("healthy").alias("health"))
 
 

@@ -470,13 +470,17 @@ def k13m(spark, folder):
 WITH e AS (SELECT event_id, ts, value AS latency, event_type <> 'error' AS ok, event_type IN ('purchase', 'signup', 'error') AS is_ingest,
   'svc' || (user_id % 4) AS service FROM events),
 l AS (SELECT service, list_sort(list(latency)) AS a FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts DESC, event_id DESC) AS rn FROM e WHERE ok) WHERE rn <= 1000 GROUP BY 1),
+w AS (SELECT service, list_sort(list(latency)) AS b FROM e WHERE ok GROUP BY 1),
 r AS (SELECT service, count(*) AS total, count(*) FILTER (NOT ok) AS errors, count(*) FILTER (is_ingest) AS ing, count(*) FILTER (is_ingest AND ok) AS ing_ok FROM e GROUP BY 1)
 SELECT service, total, errors, CAST(len(a) AS INTEGER) AS latencies, CASE WHEN errors / total * 100 > 20 THEN 'degraded' ELSE 'healthy' END AS health,
   ~errors / total * 100 AS error_rate_pct,
   ~ing_ok / ing * 100 AS ingestion_success_pct,
   ~a[CAST(floor(len(a) * 0.5) AS BIGINT) + 1] AS p50,
-  ~a[CAST(least(floor(len(a) * 0.95), len(a) - 1) AS BIGINT) + 1] AS p95
-FROM r JOIN l USING (service)""")
+  ~a[CAST(least(floor(len(a) * 0.95), len(a) - 1) AS BIGINT) + 1] AS p95,
+  CAST(len(b) AS BIGINT) AS latencies_period,
+  ~b[CAST(floor(len(b) * 0.5) AS BIGINT) + 1] AS p50_period,
+  ~b[CAST(least(floor(len(b) * 0.95), len(b) - 1) AS BIGINT) + 1] AS p95_period
+FROM r JOIN l USING (service) JOIN w USING (service)""")
 def k14(spark, folder):
     e = A.service_events(spark, folder).select(
         "event_id", "ts", F.col("value").alias("latency"), (F.col("event_type") != "error").alias("ok"),

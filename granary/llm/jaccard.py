@@ -10,10 +10,15 @@ makes their signatures hold more features; the others n2 = 2, with some parts to
 empty cells than there are spare ones need not sign for empty cells, for it shares a cell that is not empty.
 
 After one shuffle by signature only shared signatures remain. Pairs are not enumerated within them: every text is
-compared with one bucket leader (the smallest text of a bucket), the one it shares most signatures with; components are
-made of the links found, and only pairs of a bucket that lie in different components are compared after that, once
-a bound has let them pass: the parities of 512 counts of features differ in at most as many places as the sets. So
-no link between different components is lost, and a large group of near copies costs one comparison per member.
+compared with one bucket leader (the smallest text of a bucket), the one it shares most signatures with. What links with
+its leader forms a star around it, of known distances; any other text is a star of its own. Then stars of different
+components that meet in a bucket are compared by their centres, one comparison per pair of stars, and the components
+made anew. The number of features in which two sets differ is a metric, so the distance of the centres less those of
+two members from their centres is a bound for the members: only members of stars that this leaves open, and that still
+lie in different components, are compared with each other. Bounds on sizes, on the signatures that linked sets share
+at least and on the parities of 512 counts of features (they differ in at most as many places as the sets) are passed
+first. So no link between different components is lost, and large groups of near copies cost one comparison per member
+and one per pair of groups.
 
 Texts are compared as classes of equal sets; a task signs for each class once. Null and empty texts have size 0, are
 linked with nothing and are their own component; null ids are allowed, their rows are linked like others and carry
@@ -156,11 +161,15 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
     return in_arrow(docs, stage, "class binary, features array<bigint>")
 
 
+def _parities_differ(x: str, y: str) -> Column:
+    return sum(F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PARITY_BITS // 64))
+
+
 def _may_link(x: str, y: str, p: int, q: int) -> Column:
     """Bounds on sizes and parities; true for every linked pair."""
     low, high = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    differ = sum(F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PARITY_BITS // 64))
-    return (low * q >= high * p) & (differ * (q + p) <= (low + high) * (q - p))
+    differ = _parities_differ(x, y)
+    return (low * q >= high * p) & _links(low + high, differ, p, q)
 
 
 def _least_shared(x: int, y: int, p: int, q: int) -> int:
@@ -217,19 +226,25 @@ def _bands_of_sizes(classes: DataFrame, p: int, q: int) -> DataFrame:
                                                 (F.floor(F.col("size") * q / p) >= F.col("_band.end")).alias("signs_next"))).drop("_band")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """Those of the written pairs (a, b) of class numbers that link, compared by their whole sets."""
+def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(a, b, total, apart) of the written pairs of class numbers: both sizes together and the features in one set only."""
     wanted = classes.join(pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct(), "number")
     # written, so that its size is known when the joins with texts and sets are planned
     wanted = saved(wanted.select("number", "class", F.col("doc_id").alias("_id")), "wanted")
     texts = docs.join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     full = saved(_features(texts, width).join(wanted.select("class", "number"), "class").select("number", "features"), "features")
     x, y = (full.select(F.col("number").alias(c), F.col("features").alias(f"{c}_set")) for c in "ab")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    both = pairs.join(x, "a").join(y, "b")
-    links = saved(both.where(common * q >= (F.size("a_set") + F.size("b_set") - common) * p).select("a", "b").distinct(), "links")
+    total = (F.size("a_set") + F.size("b_set")).cast("long")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select(
+        "a", "b", total.alias("total"), (total - 2 * F.size(F.array_intersect("a_set", "b_set"))).alias("apart"))
+    both = saved(both.distinct(), "compared")
     discard(full)
-    return links
+    return both
+
+
+def _links(total: Column, apart: Column, p: int, q: int) -> Column:
+    """Whether sets of that many features together, that many of them in one set only, have a similarity of p / q."""
+    return apart * (q + p) <= total * (q - p)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -248,12 +263,65 @@ def _negative(x: Column) -> Column:
     return x.bitwiseOR(F.lit(-(1 << 63)))
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows and root: that of the component of ``number``, itself if it has no links."""
+    rows = rows.join(roots.withColumnRenamed("root", "_root"), F.col("number") == F.col("node"), "left")
+    return rows.withColumn("root", F.coalesce("_root", "number")).drop("_root", "node")
+
+
+def _stars(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes, their star's centre and how far from it they are; ``links`` has one centre a per member b."""
+    heads = links.select(F.col("a").alias("number"), F.lit(True).alias("head")).distinct()
+    members = links.select(F.col("b").alias("number"), "a", "apart")
+    rows = classes.join(heads, "number", "left").join(members, "number", "left")
+    own = F.col("head").isNotNull() | F.col("a").isNull()
+    return rows.select(*classes.columns, F.when(own, F.col("number")).otherwise(F.col("a")).alias("centre"),
+                       F.when(own, F.lit(0)).otherwise(F.col("apart")).cast("long").alias("far"))
+
+
+def _pairs_of_stars(open_rows: DataFrame, stars: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs a < b of centres whose stars meet in a bucket, lie in different components and may have members that link.
+
+    With both radii and both largest sizes together and the number of members; a star of one text obeys all bounds for texts.
+    """
+    about = stars.groupBy("centre").agg(F.max("far").alias("radius"), F.min("size").alias("smallest"), F.max("size").alias("largest"),
+                                        F.count("*").alias("members"))
+    about = about.join(stars.select(F.col("number").alias("centre"), "size", "parity", "row_band"), "centre")
+    rows = open_rows.select("sign", "centre", "root").distinct().join(about, "centre")
+    x, y = rows.alias("x"), rows.alias("y")
+    near = (F.col("x.largest") * q >= F.col("y.smallest") * p) & (F.col("y.largest") * q >= F.col("x.smallest") * p)
+    apart = _parities_differ("x", "y") - F.col("x.radius") - F.col("y.radius")
+    pairs = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.root") != F.col("y.root"))
+                   & near & _links(F.col("x.largest") + F.col("y.largest"), apart, p, q))
+    members = F.col("x.members") + F.col("y.members")
+    # the least number that linked texts share comes with the pair, so pairs are counted and dropped without leaving the JVM
+    least = F.when(members == 2, _least_shared_column("x", "y", p, q)).otherwise(1)
+    pairs = pairs.select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b"), least.alias("least"), members.alias("members"),
+                         (F.col("x.radius") + F.col("y.radius")).alias("radius"), (F.col("x.largest") + F.col("y.largest")).alias("largest"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("least", "members", "radius", "largest"))
+                                       ).where("shared >= least").drop("shared", "least")
+
+
+def _pairs_of_members(open_rows: DataFrame, left: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs a < b of texts in the pairs of stars (a, b, apart) that meet in a bucket and may link by every bound."""
+    rows = open_rows.drop("root")
+    x = rows.join(left.select(F.col("a").alias("centre"), F.col("b").alias("other"), "apart"), "centre").alias("x")
+    y = rows.alias("y")
+    far = F.col("x.apart") - F.col("x.far") - F.col("y.far")
+    pairs = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.other") == F.col("y.centre"))
+                   & _links(F.col("x.size") + F.col("y.size"), far, p, q) & _may_link("x", "y", p, q))
+    pairs = pairs.select(F.least("x.number", "y.number").alias("a"), F.greatest("x.number", "y.number").alias("b"),
+                         _least_shared_column("x", "y", p, q).alias("least"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b")
+
+
 def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of documents; links are similarities of at least p / q.
 
     ``docs`` has doc_id (long) and text. component_id is the smallest doc_id reachable by links.
     """
     docs = docs.select("doc_id", "text")
+    linked = _links(F.col("total"), F.col("apart"), p, q)
     signing = saved(sets(docs, width, p, q).withColumn("row", F.coalesce("doc_id", _negative(F.xxhash64("class")))), "sets")
     classes = saved(_numbered(signing), "classes")
     rows = saved(signing.select("doc_id", "size", "class", "row"), "rows")
@@ -275,27 +343,34 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
     first = buckets.where("number <> leader").groupBy(F.col("leader").alias("a"), F.col("number").alias("b")).count()
     first = first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     first = saved(first.join(about("a"), "a").join(about("b"), "b").where(_may_link("ca", "cb", p, q)).select("a", "b"), "pairs")
-    links = _linked(first, docs, classes, width, p, q)
+    known = _compared(first, docs, classes, width)
+    links = known.where(linked)
     roots = components(links)
 
-    rooted = buckets.join(roots, F.col("number") == F.col("node"), "left").select(
-        "sign", "number", F.coalesce("root", "number").alias("root")).repartition("sign")
-    banded = saved(_bands_of_sizes(classes.select("number", "size", "parity"), p, q), "banded")
+    rooted = _rooted(buckets, roots).repartition("sign")
+    banded = saved(_stars(_bands_of_sizes(classes.select("number", "size", "parity"), p, q), links), "banded")
     mixed = rooted.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high")).where("low <> high")
     open_rows = saved(mixed.select("sign", "number", "root").join(banded, "number"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    # the least number that linked sets share comes with the pair, so pairs are counted and dropped without leaving the JVM
-    second = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.number") < F.col("y.number"))
-                    & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", p, q)).select(
-        F.col("x.number").alias("a"), F.col("y.number").alias("b"), _least_shared_column("x", "y", p, q).alias("least"))
-    second = second.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b")
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = saved(second.join(tried, ["a", "b"], "left_anti"), "pairs")
-    discard(open_rows, buckets)
-    if not second.isEmpty():
-        more = _linked(second, docs, classes, width, p, q)
+    centres = saved(_pairs_of_stars(open_rows, banded, p, q), "centres")
+    known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total", "apart")
+    more = _compared(saved(centres.join(known, ["a", "b"], "left_anti"), "pairs"), docs, classes, width)
+    known = known.union(more)
+    links = links.select("a", "b").union(more.where(linked).select("a", "b"))
+    if not more.where(linked).isEmpty():
+        roots = components(links)
+
+    # stars that stay apart and may still have members that link
+    apart = F.col("apart") - F.col("radius")
+    left = centres.where("members > 2").join(known.drop("total"), ["a", "b"]).where(_links(F.col("largest"), apart, p, q))
+    for c in "ab":
+        left = _rooted(left.withColumn("number", F.col(c)), roots).drop("number").withColumnRenamed("root", f"{c}_root")
+    left = saved(left.where("a_root <> b_root").select("a", "b", "apart"), "left")
+    if not left.isEmpty():
+        second = saved(_pairs_of_members(open_rows, left, p, q).join(known, ["a", "b"], "left_anti"), "pairs")
+        more = _compared(second, docs, classes, width).where(linked)
         if not more.isEmpty():
-            roots = components(links.union(more))
+            roots = components(links.union(more.select("a", "b")))
+    discard(open_rows, buckets)
 
     ids = classes.select("class", "number", "doc_id").join(roots, F.col("number") == F.col("node"), "left").select(
         "class", "doc_id", F.coalesce("root", "number").alias("root"))

@@ -63,6 +63,34 @@ def test_equals_all_pairs(spark, width, p, q):
     assert got == expected(rows, width, p, q)
 
 
+def groups_of_copies(n):
+    """Three groups of n near copies: the second and third lie a little below the threshold from the first, one member of the third links."""
+    draw = random.Random(7)
+    base = [f"u{i}" for i in range(200)]
+    second, third = list(base), list(base)
+    for i in range(0, 200, 20):
+        second[i] = f"s{i}"
+    for i in range(5, 150, 18):
+        third[i] = f"t{i}"
+    rows = []
+    for g, words in enumerate((base, second, third)):
+        for i in range(n):
+            copy = list(words)
+            copy[draw.randrange(160, 200)] = f"c{g}_{i}"
+            rows.append((g * 1000 + i, " ".join(copy)))
+    between = [w if i > 60 else b for i, (w, b) in enumerate(zip(third, base))]
+    return rows + [(5000, " ".join(between))]
+
+
+def test_groups_are_compared_by_their_centres(spark, monkeypatch):
+    rows, counts, compared = groups_of_copies(60), [], jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda pairs, *rest: (counts.append(pairs.count()), compared(pairs, *rest))[1])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in jaccard.near_copies(frame, 4, 85, 100).collect()), key=str)
+    assert got == expected(rows, 4, 85, 100)
+    assert 2 <= len({r[2] for r in got}) < 60 and sum(counts) < 60 * 60
+
+
 def test_empty(spark):
     assert jaccard.near_copies(spark.createDataFrame([], "doc_id long, text string"), 4, 85, 100).count() == 0
 

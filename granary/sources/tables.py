@@ -18,6 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def parent_folder(path: Column, prefix: str) -> Column:
+    """Name of the folder that holds a file, without the prefix if more follows it.
+
+    Cut at the slashes: a pattern that ends at the last slash is tried from every place of the path, for every row.
+    """
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    named = folder.startswith(prefix) & (F.length(folder) > len(prefix))
+    return F.when(named, F.substr(folder, F.lit(len(prefix) + 1))).otherwise(folder)
+
+
 def read_observations(spark: SparkSession, path: str, schema=RAW_OBSERVATION, fmt: str = "csv",
                       commodity: str | None = None) -> DataFrame:
     """All raw files below a glob as one table; the commodity is the parent folder unless given."""
@@ -25,8 +35,7 @@ def read_observations(spark: SparkSession, path: str, schema=RAW_OBSERVATION, fm
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
     df = reader.load(path)
-    name = (F.lit(commodity) if commodity else
-            F.regexp_extract(F.col("_metadata.file_path"), r"(?:commodity=)?([^/]+)/[^/]+$", 1))
+    name = F.lit(commodity) if commodity else parent_folder(F.col("_metadata.file_path"), "commodity=")
     return df.select(name.alias("commodity"), *[F.col(f"`{c}`") for c in df.columns])
 
 

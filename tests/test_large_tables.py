@@ -36,3 +36,25 @@ def test_thresholds_with_few_or_no_large_ranges(spark, tmp_path, key, last):
     lines = [(1, 0, 2, 2000, "N", d) for d in range(40)] + [(1, 0, 2, last, "N", 40)]
     market_tables(spark, tmp_path, lines)
     assert compare(spark, duck_of(tmp_path), QUERIES[key], SQL[key], str(tmp_path)) is None
+
+
+def test_commodity_of_a_file_needs_no_pattern_per_row(spark, tmp_path):
+    from granary.sources import tables as S
+    names = {"rice": "rice", "commodity=wheat": "wheat", "commodity=": "commodity=", "commodity": "commodity", "red gram": "red gram",
+             "commodity=a=b": "a=b"}
+    for folder in names:
+        (tmp_path / "raw" / folder).mkdir(parents=True)
+        (tmp_path / "raw" / folder / "m.csv").write_text("Variety,Market Name\nx,y\nx,\n")
+    df = S.read_observations(spark, f"{tmp_path}/raw/*", "Variety string, `Market Name` string")
+    pattern = df.selectExpr("commodity", "regexp_extract(_metadata.file_path, '(?:commodity=)?([^/]+)/[^/]+$', 1) AS old")
+    found = [tuple(r) for r in pattern.collect()]
+    assert {a.replace("%20", " ") for a, _ in found} == set(names.values()) and len(found) == 2 * len(names)
+    assert all(a == b for a, b in found)
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_written_market_files_are_read_like_the_raw_rows(spark, tmp_path):
+    lines = [(p, p % 2, 1 + p % 5, 100 + p, "NRA"[p % 3], p % 400) for p in range(300)]
+    market_tables(spark, tmp_path, lines + lines[:50])
+    key = "a01_read_observations"
+    assert compare(spark, duck_of(tmp_path), QUERIES[key], SQL[key], str(tmp_path)) is None

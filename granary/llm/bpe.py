@@ -17,6 +17,7 @@ through ``encode`` and ``decode`` untouched; the names of the new columns are ar
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 import re
@@ -30,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import in_arrow, slices
+from granary.llm.common import hand_back, in_arrow, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pre-tokens in one recursive query, pre-tokens a worker remembers, bytes of a long one, rounds per restart.
@@ -103,9 +104,13 @@ class ByteBpe:
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.known: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        merges = [(left, right, rank) for token, rank in ranks.items() for cut in range(1, len(token))
-                  if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None]
-        self._load("merges", **{name: pa.array(x, pa.int32()) for name, x in zip("lrk", zip(*merges, strict=True))})
+        merges = {name: array.array("i") for name in "lrk"}  # flat: a worker has little memory beside the executor's
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None:
+                    for column, value in zip(merges.values(), (left, right, rank), strict=True):
+                        column.append(value)
+        self._load("merges", **{name: pa.array(np.frombuffer(x, np.int32)) for name, x in merges.items()})
         self.db.sql("CREATE TABLE lower AS FROM merges WHERE k < greatest(l, r)")
         # a piece is any byte string: DuckDB gets it as text with one character per byte
         self._load("pieces", id=pa.array(ranks.values(), pa.int32()),
@@ -176,6 +181,7 @@ def vocabulary(path: str) -> ByteBpe:
     """The worker's copy of a vocabulary."""
     if path not in _LOADED:
         _LOADED[path] = ByteBpe(path)
+        hand_back()  # what the loading took
     return _LOADED[path]
 
 

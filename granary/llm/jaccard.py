@@ -10,10 +10,13 @@ makes their signatures hold more features; the others n2 = 2, with some parts to
 empty cells than there are spare ones need not sign for empty cells, for it shares a cell that is not empty.
 
 After one shuffle by signature only shared signatures remain. Pairs are not enumerated within them: every text is
-compared with one bucket leader (the smallest text of a bucket), the one it shares most signatures with; components are
-made of the links found, and only pairs of a bucket that lie in different components are compared after that, once
+compared with one bucket leader (the smallest text of a bucket), the one it shares most signatures with, if these are half
+of what a link needs; components are made of the links found, and only pairs of a bucket that lie in different components are compared after that, once
 a bound has let them pass: the parities of 512 counts of features differ in at most as many places as the sets. So
 no link between different components is lost, and a large group of near copies costs one comparison per member.
+If a set shares at least t signatures with whatever it may link with, it does without those t - 1 of its own that
+most others have: by one order of all signatures, the rarest one that two linked sets share is left to both. So
+a passage that many unlike texts contain does not bring them together.
 
 Texts are compared as classes of equal sets; a task signs for each class once. Null and empty texts have size 0, are
 linked with nothing and are their own component; null ids are allowed, their rows are linked like others and carry
@@ -197,8 +200,24 @@ def _least_shared_column(x: str, y: str, p: int, q: int) -> Column:
     return F.greatest(of(high["room"]) + F.when(both, of(high["next_room"])).otherwise(0), F.lit(1))
 
 
+def _least_with_any_column(p: int, q: int) -> Column:
+    """``_least_shared`` of a row with the columns size and row_band and whatever set its own may link with, at least.
+
+    The scopes of a pair leave least room for the largest set of a range: the largest of the own band (served by both scopes),
+    the largest of the next band (by the next scope), or the band's first size, which does not sign for the next band.
+    """
+    size, band = F.col("size"), F.col("row_band")
+    largest = F.floor(size * q / p)
+
+    def of(room: Column, other: Column) -> Column:
+        return F.when(room < 0, 0).when(room == 0, 1).otherwise(F.greatest(room - F.floor((size + other) * (q - p) / (q + p)), F.lit(1)))
+    own = F.least(largest, band["end"] - 1)
+    return F.greatest(F.least(of(band["room"], own) + F.when(band["signs_next"], of(band["next_room"], own)).otherwise(0),
+                              of(band["room"], band["first"]), F.when(band["signs_next"], of(band["next_room"], largest))), F.lit(1))
+
+
 def _bands_of_sizes(classes: DataFrame, p: int, q: int) -> DataFrame:
-    """The classes and row_band: the band of the size, whether such a set signs for the next, and the room of both scopes.
+    """The classes and row_band: the band of the size, its sizes, whether such a set signs for the next, and the room of both scopes.
 
     The room is the number of cells less the spare ones, 0 where cells are enumerated three by three, -1 where none are.
     A table of some hundred bands, whatever the input.
@@ -213,7 +232,7 @@ def _bands_of_sizes(classes: DataFrame, p: int, q: int) -> DataFrame:
                    for b in range(len(starts) - 2)))
     own = F.get(F.filter(of, lambda s: (s["first"] <= F.col("size")) & (F.col("size") < s["end"])), F.lit(0))
     rows = classes.withColumn("_band", own)
-    return rows.withColumn("row_band", F.struct(F.col("_band.band").alias("band"), F.col("_band.room").alias("room"), F.col("_band.next_room").alias("next_room"),
+    return rows.withColumn("row_band", F.struct("_band.band", "_band.first", "_band.end", "_band.room", "_band.next_room",
                                                 (F.floor(F.col("size") * q / p) >= F.col("_band.end")).alias("signs_next"))).drop("_band")
 
 
@@ -270,24 +289,32 @@ def near_copies(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> D
                     .where("leader <> top").drop("top"), "buckets")
     discard(signing)
 
-    about = lambda c: classes.select(F.col("number").alias(c), "size", "parity").alias(f"c{c}")
-    # one comparison per class at first: with the leader it shares most signatures with
+    banded = saved(_bands_of_sizes(classes.select("number", "size", "parity"), p, q).withColumn("needs", _least_with_any_column(p, q)), "banded")
+    about = lambda c: banded.withColumnRenamed("number", c).alias(f"c{c}")
+    # one comparison per class at first: with the leader it shares most signatures with. If these are not even half of what
+    # linked sets share (other leaders may have the rest), their sets are not fetched; the pairs below include such pairs
     first = buckets.where("number <> leader").groupBy(F.col("leader").alias("a"), F.col("number").alias("b")).count()
-    first = first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first = saved(first.join(about("a"), "a").join(about("b"), "b").where(_may_link("ca", "cb", p, q)).select("a", "b"), "pairs")
+    first = first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b", F.col("best.count").alias("shared"))
+    likely = _may_link("ca", "cb", p, q) & (F.col("shared") * 2 >= _least_shared_column("ca", "cb", p, q))
+    first = saved(first.join(about("a"), "a").join(about("b"), "b").where(likely).select("a", "b"), "pairs")
     links = _linked(first, docs, classes, width, p, q)
     roots = components(links)
 
     rooted = buckets.join(roots, F.col("number") == F.col("node"), "left").select(
         "sign", "number", F.coalesce("root", "number").alias("root")).repartition("sign")
-    banded = saved(_bands_of_sizes(classes.select("number", "size", "parity"), p, q), "banded")
-    mixed = rooted.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high")).where("low <> high")
-    open_rows = saved(mixed.select("sign", "number", "root").join(banded, "number"), "open")
+    mixed = rooted.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"),
+                          F.count("*").over(whole).alias("times")).where("low <> high")
+    commonest = Window.partitionBy("number").orderBy(F.desc("times"), "sign")
+    ranked = mixed.select("sign", "number", "root", "times").join(banded.select("number", "needs"), "number").withColumn(
+        "place", F.row_number().over(commonest)).where(F.col("place") >= F.col("needs"))
+    open_rows = saved(ranked.select("sign", "number", "root").join(banded, "number"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    # the least number that linked sets share comes with the pair, so pairs are counted and dropped without leaving the JVM
+    # of what linked sets share, the one that leaves out more lacks all that is left out; the least number that remains
+    # comes with the pair, so pairs are counted and dropped without leaving the JVM
+    least = _least_shared_column("x", "y", p, q) - F.greatest("x.needs", "y.needs") + 1
     second = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.number") < F.col("y.number"))
                     & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", p, q)).select(
-        F.col("x.number").alias("a"), F.col("y.number").alias("b"), _least_shared_column("x", "y", p, q).alias("least"))
+        F.col("x.number").alias("a"), F.col("y.number").alias("b"), least.alias("least"))
     second = second.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = saved(second.join(tried, ["a", "b"], "left_anti"), "pairs")

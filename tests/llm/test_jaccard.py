@@ -137,3 +137,46 @@ def test_components(spark):
 def test_query_equals_sql(spark, folder):
     from compare import compare, duck
     assert compare(spark, duck(folder), queries.QUERIES["op2_jaccard_join"], queries.SQL["op2_jaccard_join"], folder) is None
+
+
+def texts_with_a_passage(n):
+    """n long texts that have only a passage of 60 words in common, and for three of them a near copy each that keeps the passage."""
+    draw = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        words = [f"d{i}_{j}" for j in range(draw.randrange(1500, 1800))]
+        at = draw.randrange(1400)
+        rows.append((i, " ".join(words[:at] + passage + words[at:])))
+    for i in range(3):
+        words = rows[i][1].split()
+        for at in range(0, 1400, 60):
+            words[at] = f"e{i}_{at}"
+        rows.append((1000 + i, " ".join(words)))
+    return rows
+
+
+def test_a_common_passage_brings_no_unlike_texts_together(spark, monkeypatch):
+    rows = texts_with_a_passage(60)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    met, saved = [], jaccard.saved
+
+    def counted(df, name, **options):
+        back = saved(df, name, **options)
+        if name == "open":
+            x, y = back.select("sign", "number", "root"), back.selectExpr("sign", "number AS other", "root AS other_root")
+            met.append(x.join(y, "sign").where("number < other AND root <> other_root").count())
+        return back
+    monkeypatch.setattr(jaccard, "saved", counted)
+    got = sorted((tuple(r) for r in jaccard.near_copies(frame, 5, 80, 100).collect()), key=str)
+    assert got == expected(rows, 5, 80, 100)
+    assert len({r[2] for r in got}) == 60
+    assert met and met[0] < 60
+
+
+def test_signatures_left_out_are_fewer_than_any_link_shares(spark):
+    for p, q in ((85, 100), (80, 100), (60, 100)):
+        sizes = [*range(1, 500), 999, 1000]
+        rows = jaccard._bands_of_sizes(spark.createDataFrame([(n,) for n in sizes], "size long"), p, q)
+        for x, needs in rows.select("size", jaccard._least_with_any_column(p, q)).collect():
+            assert 1 <= needs <= min(jaccard._least_shared(x, y, p, q) for y in range(-(-x * p // q), x * q // p + 1))
